@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, simhash, sstable, warc
+from . import decontam, langid, packing, simhash, spotsigs, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_simhash_covering_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +53,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharded_warc, op3_simhash_covering_lsh, op7_pigeonhole_decontamination, op8_sorted_string_table, op9_bound_certified_packing, op10_ppm_language_id)}
+    return {f.__name__: f for f in (op2_sharded_warc, op3_simhash_covering_lsh, op4_spotsigs, op7_pigeonhole_decontamination, op8_sorted_string_table, op9_bound_certified_packing, op10_ppm_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
