@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing, simhash, spotsigs, sstable, warc
+from . import decontam, langid, linededup, packing, simhash, spotsigs, sstable, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup_patience(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op2_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -53,7 +57,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharded_warc, op3_simhash_covering_lsh, op4_spotsigs, op7_pigeonhole_decontamination, op8_sorted_string_table, op9_bound_certified_packing, op10_ppm_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup_patience, op2_sharded_warc, op3_simhash_covering_lsh, op4_spotsigs, op7_pigeonhole_decontamination, op8_sorted_string_table, op9_bound_certified_packing, op10_ppm_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

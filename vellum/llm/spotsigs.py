@@ -1,8 +1,8 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors, all in DataFrame expressions.
 
 A text's words are its lower-cased runs of letters and digits. A spot is a content word right after an anchor (a
-common word of one of the languages below), or one whose hash picks it, so that lists and other texts without common
-words have spots too. Its signature hashes the anchor and the chain of content words that begins there. A text
+common word of one of the languages below), or one that repeats the word before it or that its hash picks, so that
+lists and other texts without common words have spots too. Its signature hashes the anchor and the chain of content words that begins there. A text
 without any spot has one signature, of its words together. The fingerprint is the sorted set of signatures in hex.
 """
 
@@ -40,7 +40,7 @@ def with_signatures(df: DataFrame, text: str, out: str, chain: int = CHAIN, spre
     df = df.withColumn(c, F.concat(F.array(F.lit(-1)), content))
     at = lambda j: F.get(F.col(c), j)
     word = lambda j: F.get(F.col(t), at(j))
-    spots = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda j: (j > 0) & ((at(j) - at(j - 1) > 1) | (F.pmod(F.hash(word(j)), F.lit(spread)) == 0)))
+    spots = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda j: (j > 0) & ((at(j) - at(j - 1) > 1) | (F.pmod(F.hash(word(j)), F.lit(spread)) == 0) | (word(j) == word(j - 1))))
     signature = lambda j: F.hash(F.when(at(j) - at(j - 1) > 1, F.get(F.col(t), at(j) - 1)), *[word(j + i) for i in range(chain)])
     found = f"__vl_{out}_f"
     df = df.withColumn(found, F.array_sort(F.array_distinct(F.transform(spots, signature))))
