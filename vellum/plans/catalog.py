@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ranking, retrieval
+from . import analytics, graph, ranking, retrieval
 
-MODULES = (retrieval, ranking)
+MODULES = (retrieval, ranking, graph, analytics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
