@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, graph, ranking, retrieval
+from . import analytics, graph, ranking, registry, retrieval
 
-MODULES = (retrieval, ranking, graph, analytics)
+MODULES = (retrieval, ranking, graph, analytics, registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
