@@ -86,7 +86,7 @@ def normalize_pdf(c: Column) -> Column:
 def clip(c: Column, limit: int) -> Column:
     """At most `limit` characters, cut at the last space before, with an ellipsis."""
     head = F.substring(c, 1, limit)
-    cut = F.regexp_replace(head, r"\s+\S*$", "")
+    cut = F.regexp_replace(head, r"\s+\S*\z", "")
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(cut, F.lit("…")))
 
 
