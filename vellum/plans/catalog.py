@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, graph, ranking, registry, retrieval, texts
+from . import analytics, events, graph, ranking, registry, retrieval, texts
 
-MODULES = (retrieval, ranking, graph, analytics, registry, texts)
+MODULES = (retrieval, ranking, graph, analytics, registry, texts, events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
