@@ -1,38 +1,17 @@
-"""Shared folder, checkpoints, explicit range shards and file access for the operators of this subpackage."""
+"""Row keys, explicit range shards and file access for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: stands for a null doc_id where a key must not be null
-NULL_ID = -(2**63)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    ready = spark.sparkContext.getCheckpointDir()
-    if ready is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vellum-"))
-        ready = spark.sparkContext.getCheckpointDir()
-    return ready.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from ..operators.components import connected_components
+from ..session import saved, shared_dir, work_path
 
+__all__ = ["NULL_ID", "connected_components", "file_system", "range_shards", "saved", "shard_of", "shared_dir", "text_key", "work_path"]
 
-def saved(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: stands for a null doc_id where a key must not be null
+NULL_ID = -(2**63)
 
 
 def file_system(uri: str):
@@ -97,28 +76,3 @@ def shard_of(key: Column, bounds: list[int]) -> Column:
         return F.when(key < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid, hi))
 
     return F.when(key.isNull(), F.lit(0)).otherwise(search(0, len(bounds)))
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b); root is the smallest node of its component.
-
-    Alternating large-star and small-star steps: each is one aggregation and one join on the edges, so no
-    adjacency list is ever gathered, and the number of rounds grows with the logarithm of the component's size.
-    Each round is checkpointed in the shared folder.
-    """
-    e = saved(edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct())
-    before = None
-    for _ in range(most_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("p"))
-        e = saved(small.select(F.col("p.x").alias("u"), F.col("p.y").alias("v")).where("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("connected components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
