@@ -132,3 +132,40 @@ def section_type(title: Column) -> Column:
     for name, pattern in rules:
         out = F.coalesce(out, F.when(title.rlike(pattern), F.lit(name)))
     return F.coalesce(out, F.lit("other"))
+
+
+def title_overlap(query: Column, title: Column) -> Column:
+    """The share of a query's different words that a title has."""
+    q = F.array_distinct(tokens(query))
+    return F.size(F.array_intersect(q, tokens(title))) / F.greatest(F.lit(1), F.size(q))
+
+
+def stems(c: Column, n: int = 5) -> Column:
+    """Different content words cut to n letters."""
+    return F.array_distinct(F.transform(F.filter(tokens(c), lambda w: (F.length(w) > 3) & ~w.isin(QUERY_STOP_WORDS)), lambda w: F.substring(w, 1, n)))
+
+
+def cursor(offset: Column, page: Column) -> Column:
+    """A base64url cursor of JSON with sorted keys."""
+    return F.translate(F.base64(F.concat(F.lit('{"offset":'), offset.cast("string"), F.lit(',"page":'), page.cast("string"), F.lit("}")).cast("binary")), "+/", "-_")
+
+
+def cursor_of(c: Column) -> Column:
+    return F.from_json(F.unbase64(F.translate(c, "-_", "+/")).cast("string"), "offset long, page long")
+
+
+def word_overlap(left: Column, right: Column, most: int = 64) -> Column:
+    """Words of the longest suffix of one passage (at most `most`) that begins the next."""
+    a, b = F.split(F.trim(left), r"\s+"), F.split(F.trim(right), r"\s+")
+    n = F.least(F.lit(most), F.size(a), F.size(b))
+    fits = F.filter(F.sequence(F.lit(0), n), lambda k: (k == 0) | (F.slice(a, F.greatest(F.lit(1), F.size(a) - k + 1), F.greatest(k, F.lit(1))) == F.slice(b, F.lit(1), F.greatest(k, F.lit(1)))))
+    return F.array_max(fits)
+
+
+def source_label(doc_id: Column) -> Column:
+    #: fixed values: labels of sources by identifier prefix
+    labels = {"arxiv": "arXiv", "iacr": "IACR ePrint", "acl": "ACL Anthology", "eip": "Ethereum EIPs", "hal": "HAL", "oa": "OpenAlex", "pmlr": "PMLR"}
+    out = F.lit("other")
+    for k, v in labels.items():
+        out = F.when(source_of(doc_id) == k, F.lit(v)).otherwise(out)
+    return out
