@@ -18,10 +18,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: most distinct byte values that the trees tell apart; rarer ones share the last symbol, whose cost is spread over them
 SYMBOLS = 128
 #: bounds of the labelled sample that the trees are fitted on: rows of each language, and code points of each row
 ROWS_A_LANGUAGE, CHARS_A_ROW = 1500, 4000
+#: a table of so many languages at most is sent to all tasks while the sample is drawn; more are joined
+LANGUAGES_SENT = 10_000
 ORDER = 3
 LETTER = regex.compile(r"\p{L}")
 
@@ -69,7 +73,7 @@ def gram_numbers(s: np.ndarray, k: int) -> np.ndarray:
 
 
 class Model:
-    """Cost tables of frozen counts. Orders 0 to 2 are dense; grams of order 3 seen in training are a sorted list
+    """Cost tables of frozen counts, 16 MB a language. Orders 0 to 2 are dense; grams of order 3 seen in training are a sorted list
     behind a table of their first two symbols' places, and others cost their escape plus the cost at order 2."""
 
     def __init__(self, counts: Counts):
@@ -167,8 +171,9 @@ def fit(labelled: DataFrame, rows: int = ROWS_A_LANGUAGE, chars: int = CHARS_A_R
     """Counts from rows (text, lang): of each language the `rows` rows first by hash of id and text, `chars` code points each."""
     t = labelled.where("lang is not null and text is not null and text <> ''").select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
     spans = t.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), F.lit(1.0 * rows) / F.col("n") * 1.2 + 4 * F.sqrt(F.lit(1.0 * rows)) / F.col("n")).alias("share"))
+    spans = saved(spans)
     # hashes are even: a slightly larger share than needed goes on to be ordered, the rest stays where it is
-    near = t.join(F.broadcast(spans.orderBy(F.desc("share"), "lang").limit(1000)), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    near = t.join(F.broadcast(spans) if spans.count() <= LANGUAGES_SENT else spans, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     found: dict[str, list[str]] = {}
     taken = near.groupBy("lang", F.pmod(F.shiftright("h", 32), F.lit(16)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.pmod("h", F.lit(1 << 30)).alias("k"), "text"))), 1, rows).alias("s"))
     for r in taken.collect():
