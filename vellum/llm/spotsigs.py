@@ -91,16 +91,16 @@ def with_next(docs: DataFrame, chain: int = CHAIN, spread: int = SPREAD) -> Data
     doc_id are ordered by hash. Other columns are ignored. Empty input: no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("h"), "text")
+    base = base.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.xxhash64("text").alias("h"), "text")
     ids = saved(base.select("k", "h", F.length("text").alias("n")))
     follow = successors(ids.distinct())
-    full = with_signatures(base, "text", "sigs", chain, spread)
-    # each document gives its beginning and its signatures to the one before it
+    # each document gives its beginning and its signatures to the one before it; both joins read one exchange of the texts
     wants = follow.select(F.col("nk").alias("k"), F.col("nh").alias("h"), F.struct("k", "h").alias("to"), F.floor(F.col("n") / 3).cast("int").alias("take"))
-    gifts = full.join(wants, ["k", "h"]).select(F.col("to.k").alias("k"), F.col("to.h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("take")).alias("head"), F.col("sigs").alias("next_sigs"))
+    gifts = with_signatures(base.join(wants, ["k", "h"]), "text", "sigs", chain, spread).select(F.col("to.k").alias("k"), F.col("to.h").alias("h"), F.substring(F.col("text"), F.lit(1), F.col("take")).alias("head"), F.col("sigs").alias("next_sigs"))
     if ids.groupBy("k", "h").count().where("count > 1").limit(1).count():
         gifts = gifts.dropDuplicates(["k", "h"])
     n = F.length("text")
-    out = full.join(gifts, ["k", "h"]).select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"))
+    out = with_signatures(base.join(gifts, ["k", "h"]), "text", "sigs", chain, spread)
+    out = out.select(F.nullif(F.col("k"), F.lit(NULL_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), "sigs", "next_sigs", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head")).alias("edited"))
     out = with_signatures(out, "edited", "edited_sigs", chain, spread)
     return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("sigs").alias("fingerprint"), fingerprint("edited_sigs").alias("edited_fingerprint"), likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"))
