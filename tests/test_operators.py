@@ -157,3 +157,47 @@ def test_stream_drops_repeated_events(spark, tmp_path):
 def test_token_bucket():
     out, tokens, at = S.take([0, 0, 0, 3600], [1, 2, 3, 4], 2.0, None, 2.0, 1 / 3600)
     assert [x[1] for x in out] == [True, True, False, True] and tokens == 0 and at == 3600
+
+
+def test_snapshots(spark, tmp_path):
+    from vellum.operators import sinks
+
+    root, d = f"file://{tmp_path}/s", spark.createDataFrame([(1, "a")], "k int, v string")
+    assert sinks.current(spark, root)["version"] == 0 and sinks.publish(d, root, expected=0) == 1
+    assert sinks.publish(sinks.replace_keys(sinks.read(spark, root), spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), ["k"]), root) == 2
+    assert sorted(map(tuple, sinks.read(spark, root).collect())) == [(1, "b"), (2, "c")]
+    with pytest.raises(ValueError):
+        sinks.publish(d, root, expected=1)
+    bad = spark.createDataFrame([("p", 0, "x", [1.0, 2.0]), ("p", 0, " ", [1.0, float("nan")]), ("q", -1, "y", [1.0])], "paper_id string, chunk_index int, text string, vector array<double>")
+    assert sorted((r.paper_id, r.reason) for r in sinks.violations(bad, 2).collect()) == [("p", "no_text"), ("p", "not_finite"), ("p", "repeated_index"), ("q", "bad_index"), ("q", "wrong_dimension")]
+    t = spark.createDataFrame([([("a", None)],), ([("a", "b")],), ([("z", None)],)], "i array<struct<born:string,retired:string>>")
+    assert [r.x for r in t.select(sinks.committed("i", ["a", "b"]).alias("x")).collect()] == [True, False, False]
+
+
+def test_rerank_and_rescue(spark):
+    from vellum.operators import search
+
+    hits = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "q int, id string, rank int")
+    logits = spark.createDataFrame([(1, "c", 0.1), (1, "c", 0.9), (1, "b", 0.5)], "q int, id string, logit double")
+    assert [r.id for r in search.rescored(hits, logits).orderBy("rerank").collect()] == ["c", "b", "a"]
+    chunks = spark.createDataFrame([(1, "b", 0.3), (1, "b", 0.4), (1, "a", 0.9)], "q int, id string, score double")
+    assert [(r.id, r.score) for r in search.rescued(hits, hits.where("id <> 'b'"), chunks).collect()] == [("b", 0.4)]
+
+
+def test_structured_html(spark):
+    from vellum.sources import structured
+
+    page = "<table><tr><td rowspan=2>a<td>b</tr><tr><td>c</tr></table><script>x</script><p>end"
+    n = structured.nodes(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string"))
+    assert [(r.text, r.grid_row, r.grid_col) for r in n.where("tag = 'td'").orderBy("node").collect()] == [("a", 0, 0), ("b", 0, 1), ("c", 1, 1)]
+    assert structured.search_text(n).first().text == "a | b | c | end"
+    assert structured.nodes(spark.createDataFrame([(1, page)], "page_id long, html string"), most_nodes=2).where("truncated").count() == 2
+
+
+def test_word_overlap_and_interval(spark):
+    from vellum.operators import evaluation
+
+    d = spark.createDataFrame([("a b c", "b c d"), ("a b", "c d"), ("x", "x")], "l string, r string")
+    assert [r.n for r in d.select(T.word_overlap(F.col("l"), F.col("r")).alias("n")).collect()] == [2, 0, 1]
+    r = evaluation.bootstrap_interval(spark.range(200).select(F.col("id").cast("double").alias("v")), "v", 100).first()
+    assert r.mean == 99.5 and 80 < r.low < 99.5 < r.high < 120
