@@ -201,3 +201,15 @@ def test_word_overlap_and_interval(spark):
     assert [r.n for r in d.select(T.word_overlap(F.col("l"), F.col("r")).alias("n")).collect()] == [2, 0, 1]
     r = evaluation.bootstrap_interval(spark.range(200).select(F.col("id").cast("double").alias("v")), "v", 100).first()
     assert r.mean == 99.5 and 80 < r.low < 99.5 < r.high < 120
+
+
+def test_last_helpers(spark):
+    from vellum.operators import generation
+
+    assert values(spark, "aaa", lambda c: T.occurrences(c, "aa")) == 2
+    assert values(spark, "gh:spark:docs/x", T.project_key) == "spark" and values(spark, "eip:1", T.project_key) is None
+    a, b = (spark.createDataFrame([(v,)], "v array<float>").select(T.vector_sha256(F.col("v")).alias("x")).first().x for v in ([0.5, 1.0], [0.5, 1.1]))
+    assert len(a) == 64 and a != b
+    reps = spark.createDataFrame([(1, "s", "s", "own_passage"), (2, "s", "o", "citation_context"), (3, "t", "t", "own_passage")], "rep_id int, source string, owner string, kind string")
+    src = spark.createDataFrame([("s", 2020), ("t", 1999)], "source string, year int")
+    assert [r.rep_id for r in generation.qualified(reps, src, src.where("source <> 'o'"), F.col("year") > 2000).collect()] == [1]

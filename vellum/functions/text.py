@@ -169,3 +169,42 @@ def source_label(doc_id: Column) -> Column:
     for k, v in labels.items():
         out = F.when(source_of(doc_id) == k, F.lit(v)).otherwise(out)
     return out
+
+
+def occurrences(c: Column, target: str) -> Column:
+    """How often `target` begins in a text, overlaps included."""
+    n = len(target)
+    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n)) == target))
+
+
+def project_key(doc_id: Column) -> Column:
+    """The project of a framework document's identifier (gh:project:path); null for others."""
+    parts = F.split(doc_id, ":")
+    return F.when((F.size(parts) > 2) & (F.get(parts, 0) == "gh"), F.get(parts, 1))
+
+
+def moved_stub(c: Column) -> Column:
+    """A short text that only says that its subject moved elsewhere."""
+    return (F.length(c) <= 600) & c.rlike(r"(?i)\b(has|was) moved to\b|\bthis (page|eip|document) (has )?moved\b|^status: moved")
+
+
+def foreign_scope(c: Column, anchors: list[str], domains: dict[str, str]) -> Column:
+    """The first foreign domain whose pattern a query matches, unless it names an anchor of our own."""
+    low = F.lower(c)
+    own = low.rlike("(^|[^a-z0-9])(" + "|".join(anchors) + ")($|[^a-z0-9])")
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(domains.items()):
+        out = F.when(low.rlike(pattern), F.lit(name)).otherwise(out)
+    return F.when(~own, out)
+
+
+def corroborated(title_a: Column, title_b: Column, abs_a: Column, abs_b: Column) -> Column:
+    """Titles agree by half of their words, or abstracts begin with the same hundred characters."""
+    a, b = title_tokens(title_a), title_tokens(title_b)
+    xa, xb = F.substring(title_key(abs_a), 1, 100), F.substring(title_key(abs_b), 1, 100)
+    return ((F.size(a) > 0) & (F.size(b) > 0) & (jaccard(a, b) >= 0.5)) | ((F.length(xa) >= 100) & (xa == xb))
+
+
+def vector_sha256(v: Column) -> Column:
+    """The content hash of a vector: its values as shortest decimal texts, in order."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_number(x.cast("double"), "0.000000")), ","), F.lit("]")), 256)
