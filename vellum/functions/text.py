@@ -206,5 +206,5 @@ def corroborated(title_a: Column, title_b: Column, abs_a: Column, abs_b: Column)
 
 
 def vector_sha256(v: Column) -> Column:
-    """The content hash of a vector: its values as shortest decimal texts, in order."""
-    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: F.format_number(x.cast("double"), "0.000000")), ","), F.lit("]")), 256)
+    """The content hash of a vector: its values to six decimals, in order."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("decimal(20,6)").cast("string")), ","), F.lit("]")), 256)
