@@ -60,14 +60,24 @@ def deferred_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM11: token buckets of five, one an hour, over each user's events in order."""
-    import pandas as pd
+    from collections.abc import Iterator
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        out, _, _ = S.take([t.timestamp() for t in pdf["ts"]], pdf["event_id"].tolist(), 5.0, None, 5.0, 1 / 3600)
-        return pd.DataFrame([(pdf["user_id"].iloc[0], *x) for x in out], columns=["user_id", "event_id", "allowed", "tokens"])
+    import pandas as pd
 
-    return load(spark, sf_dir, "events").select("user_id", "event_id", "ts").groupBy("user_id").applyInPandas(run, S.BUCKET)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come by user and time; only the current user's bucket is held
+        user, tokens, at = None, 5.0, None
+        for b in batches:
+            out = []
+            for u, times in b.groupby("user_id", sort=False):
+                if u != user:
+                    user, tokens, at = u, 5.0, None
+                got, tokens, at = S.take([t.timestamp() for t in times["ts"]], times["event_id"].tolist(), tokens, at, 5.0, 1 / 3600)
+                out += [(u, *x) for x in got]
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "allowed", "tokens"])
+
+    e = load(spark, sf_dir, "events").where("user_id is not null").select("user_id", "event_id", "ts")
+    return e.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, S.BUCKET)
 
 
 def fuzzy_title_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
