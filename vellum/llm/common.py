@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import saved, shared_dir, work_path
 
-__all__ = ["NULL_ID", "connected_components", "file_system", "range_shards", "saved", "shard_of", "shared_dir", "text_key", "work_path"]
+__all__ = ["NULL_ID", "connected_components", "file_system", "held", "range_shards", "saved", "shard_of", "shared_dir", "text_key", "work_path"]
 
 #: stands for a null doc_id where a key must not be null
 NULL_ID = -(2**63)
 
 
+_held: dict = {}
+
+
+def held(tag, make):
+    """make(), kept in this worker until something else is asked for: one large object a worker, whatever ran before."""
+    if tag not in _held:
+        _held.clear()
+        _held[tag] = make()
+    return _held[tag]
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it); a bare path is local."""
     from pyarrow import fs
@@ -41,7 +52,7 @@ def range_shards(df: DataFrame, key: str, weight: Column, target: int, cells: in
     if lo is None:
         return [NULL_ID]
     spans, sums = [(int(lo), int(hi) + 1)], {}
-    for _ in range(rounds):
+    for turn in range(rounds):
         which, start, width = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
         per = max(1, cells // len(spans))
         for a, b in spans:
@@ -53,7 +64,7 @@ def range_shards(df: DataFrame, key: str, weight: Column, target: int, cells: in
         for c, w, s in found:
             sums[int(c)] = (int(w), int(s or 0))
         heavy = [c for c, (w, s) in sums.items() if s > target and w > 1]
-        if not heavy or len(heavy) > cells // 4:
+        if turn == rounds - 1 or not heavy or len(heavy) > cells // 4:
             break
         spans = [(c, c + sums.pop(c)[0]) for c in heavy]
     bounds, run = [NULL_ID], 0

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 WORD = re.compile(r"\w+")
 LEAST_WORDS, ERRORS = 5, 0.2
 #: bytes of item text that are sent to executors at once; more items take further passes over the documents
@@ -111,9 +113,6 @@ class Index:
         return out
 
 
-_indexes: dict[tuple, Index] = {}
-
-
 def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most `size` code points (one item at least), read as a stream."""
     block, n = [], 0
@@ -128,11 +127,7 @@ def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int,
 
 
 def _index(sent, errors: float, least_words: int) -> Index:
-    tag = (sent.id, errors, least_words)
-    if tag not in _indexes:
-        _indexes.clear()
-        _indexes[tag] = Index(sent.value, errors, least_words)
-    return _indexes[tag]
+    return held(("items", sent.id, errors, least_words), lambda: Index(sent.value, errors, least_words))
 
 
 class _Sent:

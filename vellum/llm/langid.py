@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import held, saved
 
 #: most distinct byte values that the trees tell apart; rarer ones share the last symbol, whose cost is spread over them
 SYMBOLS = 128
@@ -181,9 +181,6 @@ def fit(labelled: DataFrame, rows: int = ROWS_A_LANGUAGE, chars: int = CHARS_A_R
     return count_grams({k: [x for _, x in sorted(v)[:rows]] for k, v in found.items()})
 
 
-_models: dict[bytes, Model] = {}
-
-
 def predict(docs: DataFrame, counts: Counts) -> DataFrame:
     """doc_id, lang_pred, score of every row, whole texts. No learned language, null text or no letter: `und`, score 0.
 
@@ -194,10 +191,7 @@ def predict(docs: DataFrame, counts: Counts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = sent.value.langs
-        if tag not in _models:
-            _models.clear()
-            _models[tag] = Model(sent.value) if langs else None
-        model = _models[tag]
+        model = held(("language", tag), lambda: Model(sent.value) if langs else None)
         for b in batches:
             texts = [t.as_py() for t in b.column(1)]
             known = [i for i, t in enumerate(texts) if langs and t and LETTER.search(t)]
@@ -234,10 +228,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5, rows: int = ROWS_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = sent.value.langs
-        if tag not in _models:
-            _models.clear()
-            _models[tag] = Model(sent.value) if langs else None
-        model = _models[tag]
+        model = held(("language", tag), lambda: Model(sent.value) if langs else None)
         for b in batches:
             texts = [t.as_py() for t in b.column(place)]
             known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, work_path
+from .common import held, text_key, work_path
 
 WINDOW, GRAM = 35, 8
 #: different segments of a shard on average, and of one anchor at most before it goes window by window
@@ -281,13 +281,11 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW
 
     def streamed(sent, tag: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if tag not in _automata:
-                _automata.clear()
-                _automata[tag] = SuffixAutomaton([(split_words(t), 1) for t in sent.value])
+            automaton = held(("automaton", tag), lambda: SuffixAutomaton([(split_words(t), 1) for t in sent.value]))
             for b in batches:
                 out = []
                 for t in b.column(1):
-                    edges = [i + 1 for i, (length, _) in enumerate(_automata[tag].matches(split_words(t.as_py()), window)) if length >= window]
+                    edges = [i + 1 for i, (length, _) in enumerate(automaton.matches(split_words(t.as_py()), window)) if length >= window]
                     out.append(edges)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "text", "ends"])
 
@@ -321,6 +319,3 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW
 
     merged = found.groupBy("doc_id", "text").agg(F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
     return merged.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
-
-
-_automata: dict[str, SuffixAutomaton] = {}

@@ -9,8 +9,10 @@ from __future__ import annotations
 import numpy as np
 import regex
 
+from .common import held
+
 VOCABULARY = "word_bpe_49k.json"
-CHUNKS_KEPT, PIECES_KEPT = 400_000, 500_000
+CHUNKS_KEPT, PIECES_KEPT = 250_000, 350_000
 #: fixed values: the vocabulary's own pre-tokenizer pattern
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Python splits at these, the vocabulary does not
@@ -71,16 +73,15 @@ class Encoder:
         return b"".join(parts)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
     """The worker's encoder for a vocabulary: a path, or the name of a file of public_tokenizers."""
-    if vocabulary not in _encoders:
+
+    def make() -> Encoder:
         path = vocabulary
         if "/" not in vocabulary:
             import public_tokenizers
 
             path = public_tokenizers.path(vocabulary)
-        _encoders[vocabulary] = Encoder(path)
-    return _encoders[vocabulary]
+        return Encoder(path)
+
+    return held(("vocabulary", vocabulary), make)
