@@ -83,10 +83,10 @@ class Model:
             cost = self._deeper(np.tile(cost, (SYMBOLS, 1)), *counts.grams[k])
         self.dense = cost  # by gram of 3 symbols
         keys, c = counts.grams[ORDER]
-        escape, n, d = self._context(keys, c, SYMBOLS**ORDER)
+        escape, total = self._context(keys, c, SYMBOLS**ORDER)
         self.escape = escape  # by context of 3 symbols
         with np.errstate(divide="ignore"):
-            hit = -np.log2(c / np.maximum(1, (n + d)[keys // SYMBOLS]))
+            hit = -np.log2(c / np.maximum(1, total))
         miss = escape[keys // SYMBOLS] + cost[keys % SYMBOLS**ORDER]
         rows = np.where(c > 0, hit, miss)
         self.bits = max(16, int(len(keys) * 8 - 1).bit_length())
@@ -106,20 +106,25 @@ class Model:
         return ((g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     @staticmethod
-    def _context(keys: np.ndarray, c: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n, d = np.zeros((contexts, c.shape[1]), np.float32), np.zeros((contexts, c.shape[1]), np.float32)
-        np.add.at(n, keys // SYMBOLS, c)
-        np.add.at(d, keys // SYMBOLS, c > 0)
+    def _context(keys: np.ndarray, c: np.ndarray, contexts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The escape's cost after each context, and n + d of each gram's context; only contexts seen take work space."""
+        escape = np.zeros((contexts, c.shape[1]), np.float32)
+        if not len(keys):
+            return escape, np.zeros((0, c.shape[1]), np.float32)
+        seen, first = np.unique(keys // SYMBOLS, return_index=True)
+        n = np.add.reduceat(c.astype(np.float32), first, axis=0)
+        d = np.add.reduceat((c > 0).astype(np.float32), first, axis=0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(n > 0, -np.log2(d / (n + d)), np.float32(0)), n, d
+            escape[seen] = np.where(n > 0, -np.log2(d / (n + d)), np.float32(0))
+        return escape, np.repeat(n + d, np.diff(np.r_[first, len(keys)]), axis=0)
 
     def _deeper(self, below: np.ndarray, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Costs of the next order; below: the cost of each of its grams one order down."""
-        escape, n, d = self._context(keys, c, len(below) // SYMBOLS)
+        escape, total = self._context(keys, c, len(below) // SYMBOLS)
         cost = below
         cost.reshape(-1, SYMBOLS, cost.shape[1])[:] += escape[:, None, :]
         with np.errstate(divide="ignore"):
-            hit = -np.log2(c / np.maximum(1, (n + d)[keys // SYMBOLS]))
+            hit = -np.log2(c / np.maximum(1, total))
         cost[keys] = np.where(c > 0, hit, cost[keys])
         return cost
 
