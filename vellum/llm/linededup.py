@@ -110,16 +110,16 @@ def removals(docs: DataFrame, rare: int = RARE, chars: int = BLOCK_CHARS, lines:
 
     k, h = text_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lined = saved(rows.select(k.alias("k"), h.alias("h"), "text").mapInArrow(hashed, "k long, h long, x array<long>, size array<int>, place array<int>"))
-    held = lined.select("k", "h", F.explode(F.array_distinct("x")).alias("x")).distinct()
-    common = held.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("k", "h")).alias("first")).where("n > 1")
+    lined = saved(rows.select(k.alias("k"), h.alias("h"), "text").mapInArrow(hashed, "k long, h long, x array<long>, size array<int>, place array<int>").dropDuplicates(["k", "h"]))
+    held = lined.select("k", "h", F.explode(F.array_distinct("x")).alias("x"))
+    # kept, as are the documents above: joins of plain rows on a hot line or a hot first holder can be split
+    common = saved(held.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("k", "h")).alias("first")).where("n > 1"))
     shared = saved(held.join(common, "x"))
     later = shared.where(F.struct("k", "h") > F.col("first")).select(F.col("first").alias("a"), F.struct("k", "h").alias("b"))
     few = shared.where(F.col("n") <= rare).groupBy("x").agg(F.array_sort(F.collect_list(F.struct("k", "h"))).alias("all"))
     among = few.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
     pairs = later.unionByName(among).distinct().select(F.col("a.k").alias("ak"), F.col("a.h").alias("ah"), F.col("b.k").alias("bk"), F.col("b.h").alias("bh"))
-    once = lined.dropDuplicates(["k", "h"])
-    both = pairs.join(once.select(F.col("k").alias("ak"), F.col("h").alias("ah"), F.col("x").alias("ax")), ["ak", "ah"]).join(once.select(F.col("k").alias("bk"), F.col("h").alias("bh"), F.col("x").alias("bx"), "size", "place"), ["bk", "bh"])
+    both = pairs.join(lined.select(F.col("k").alias("ak"), F.col("h").alias("ah"), F.col("x").alias("ax")), ["ak", "ah"]).join(lined.select(F.col("k").alias("bk"), F.col("h").alias("bh"), F.col("x").alias("bx"), "size", "place"), ["bk", "bh"])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
