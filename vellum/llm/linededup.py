@@ -1,13 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents that share line hashes are paired: every later holder with the first holder of each of its lines, and all
-holders of rare lines with each other. Each pair is aligned by patience diff, and the aligned common blocks that are
-long enough go from the later document. Pairs grow with the number of shared lines, not with the square of a group:
-a frequent line only pairs its holders with the first, and rare ones have few holders.
+Documents that share line hashes, or hashes of least blocks (runs of lines just long enough to go), are paired: every
+later holder with the first holder of each, and all holders of rare ones with each other. Each pair is aligned by
+patience diff, and the aligned common blocks that are long enough go from the later document. Each line of a block
+that an earlier document holds is in a least block of it, so a partner that holds that one is aligned, however
+frequent its lines are. Pairs grow with the number of shared lines and blocks, not with the square of a group: a
+frequent one only pairs its holders with the first, and rare ones have few holders.
 """
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, text_key
 
-#: a line that this many documents hold at most is rare: all its holders are paired
+#: a line or block that this many documents hold at most is rare: all its holders are paired
 RARE = 4
 #: a common block goes if it has so many code points or so many lines (blank lines do not count)
 BLOCK_CHARS, BLOCK_LINES = 100, 3
@@ -36,6 +39,24 @@ def line_hashes(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return hashes, sizes, places
 
 
+def least_blocks(hashes: list[int], sizes: list[int], chars: int = BLOCK_CHARS, lines: int = BLOCK_LINES) -> list[int]:
+    """Hashes of the different runs of two lines or more that are just long enough to go: the shortest from each line on, and
+    the shortest up to each line. Any run that is long enough is covered by those inside it and its lines that do alone."""
+    n, runs = len(hashes), set()
+    for step in (1, -1):
+        for i in range(n):
+            j, size = i, 0
+            while 0 <= j < n:
+                size += sizes[j]
+                if abs(j - i) + 1 >= lines or size >= chars:
+                    if j != i:
+                        runs.add((min(i, j), max(i, j) + 1))
+                    break
+                j += step
+    found = {xxhash.xxh3_64_intdigest(array("q", hashes[i:j]).tobytes()) for i, j in runs}
+    return [h - (1 << 64) if h >> 63 else h for h in found]
+
+
 def increasing(values: list[int]) -> list[int]:
     """Indexes of a longest increasing subsequence."""
     tops, at, back = [], [], []
@@ -104,14 +125,14 @@ def removals(docs: DataFrame, rare: int = RARE, chars: int = BLOCK_CHARS, lines:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [line_hashes(t.as_py()) for t in b.column(2)]
-            cols = list(zip(*found, strict=True)) or [()] * 3
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["k", "h", "x", "size", "place"])
+            cols = [*(list(zip(*found, strict=True)) or [()] * 3), [least_blocks(x, size, chars, lines) for x, size, _ in found]]
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["k", "h", "x", "size", "place", "block"])
 
     k, h = text_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    lined = saved(rows.select(k.alias("k"), h.alias("h"), "text").mapInArrow(hashed, "k long, h long, x array<long>, size array<int>, place array<int>").dropDuplicates(["k", "h"]))
-    held = lined.select("k", "h", F.explode(F.array_distinct("x")).alias("x"))
+    lined = saved(rows.select(k.alias("k"), h.alias("h"), "text").mapInArrow(hashed, "k long, h long, x array<long>, size array<int>, place array<int>, block array<long>").dropDuplicates(["k", "h"]))
+    held = lined.select("k", "h", F.explode(F.array_distinct(F.concat("x", "block"))).alias("x"))
     # kept, as are the documents above: joins of plain rows on a hot line or a hot first holder can be split
     common = saved(held.groupBy("x").agg(F.count("*").alias("n"), F.min(F.struct("k", "h")).alias("first")).where("n > 1"))
     shared = saved(held.join(common, "x"))
