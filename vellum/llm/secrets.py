@@ -34,8 +34,8 @@ FORMATS = {
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
 }
-NAMED = r"(?i:\b[\w.-]*(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\w.-]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?P<named>[^\s\"',;]{6,256})"
-DENSE = r"(?<![\w+/=-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])(?P<dense>[A-Za-z0-9_+/-]{16,512}={0,2})(?![\w+/-])"
+NAMED = r"(?i:\b[\w.-]*(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\w.-]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?P<named>[^\s\"',;]{6,}+)"
+DENSE = r"(?<![\w+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])(?P<dense>[A-Za-z0-9_+/-]{16,}+={0,2})(?![\w+/-])"
 PATTERN = re.compile("|".join([*(f"(?P<{k}>{p})" for k, p in FORMATS.items()), NAMED, DENSE]))
 SECRET_WORDS = "token secret password passwd pwd key apikey credential credentials auth bearer login access private".split()
 HARMLESS_WORDS = "example sample test dummy placeholder fake demo hash sha sha1 sha256 md5 checksum digest commit revision uuid id version etag changeme your insert todo".split()
@@ -192,7 +192,7 @@ def forest_of(findings: list[tuple[str | None, str, int]], most: int = LABELLED)
 def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source", least: float = 0.5) -> DataFrame:
     """A row for each candidate in the whole text of each row of docs: doc_id, start, length, kind, secret_sha256, score, is_secret.
 
-    start and length in code points; the secret itself is not shown, only its digest. `path`: the column that says
+    start and length in code points, of the whole value however long it is; the secret itself is not shown, only its digest. `path`: the column that says
     where the text is from, ignored if missing. Null and empty texts have no rows; repeated rows have theirs each.
     """
     forest = forest or forest_of(labelled_findings())
