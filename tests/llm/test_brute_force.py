@@ -220,11 +220,29 @@ def test_matching_statistics(seqs, words, least):
         assert n == (occurs(end[len(end) - least :]) if length >= least else 0)
 
 
+def test_one_anchor_in_very_many_segments(spark):
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {}
+    for i in range(1500):
+        w = list(passage)
+        w[rng.randrange(20)], w[40 + rng.randrange(20)] = f"x{rng.randrange(6)}", f"y{rng.randrange(6)}"
+        texts[i] = w
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    want = {i: hashlib.sha256(" ".join(w).encode()).hexdigest() for i, w in plain_removed(texts, 35).items()}
+    assert len(set(want.values())) > 50
+    for crowd in (3, 40):
+        assert {r.doc_id: r.kept_sha256 for r in substrings.remove(d, crowd=crowd).collect()} == want
+
+
 def test_reference_spans(spark):
     d = spark.createDataFrame([(1, "x a b c d y"), (2, "a b c"), (3, None)], "doc_id long, text string")
     ref = spark.createDataFrame([("q a b c d",), ("c d y z",), (None,)], "text string")
     got = {r.doc_id: r.kept_text for r in substrings.remove_reference(d, ref, window=3, shard_words=4).collect()}
     assert got == {1: "x", 2: "", 3: ""}
+    twice = substrings.remove_reference(d.unionByName(d), ref, window=3, shard_words=4)
+    assert twice.count() == 6 and twice.where("doc_id = 1 and kept_text = 'x' and n_removed = 5").count() == 2
+    assert substrings.remove_reference(d, ref.limit(0), window=3).where("n_removed > 0").count() == 0
 
 
 # secrets

@@ -4,8 +4,10 @@ Every window of WINDOW words has an anchor, the least of its grams by hash, so e
 equal places. A document is cut into segments, the runs of windows with one anchor. Only segments whose anchor
 occurs twice or more can repeat; those that occur whole elsewhere repeat throughout, and the rest are streamed through
 the suffix automaton of their shard, built over all different segments with the same anchors: matching statistics
-with occurrence counts tell which windows start elsewhere. Anchors with very many different segments go window by
-window through an aggregation instead, so no shard outgrows its task.
+with occurrence counts tell which windows start elsewhere. Where very many different segments share an anchor, they are
+cut again by wider grams, so that their content divides them and no automaton outgrows its task; the widest gram is
+the window itself, whose segments either occur again or do not. Rows grow with the words of such segments, and what is
+removed does not depend on where the cuts are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import held, text_key, work_path
 
 WINDOW, GRAM = 35, 8
-#: different segments of a shard on average, and of one anchor at most before it goes window by window
+#: different segments of a shard on average, and of one anchor at most before a wider gram cuts them again
 SHARD, CROWD = 1000, 400
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,8 +152,70 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def segments(part: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor, digest, first window, windows) of each segment of a run of word hashes."""
+    c = Cut(part.view(np.uint64), window, gram)
+    return zip(c.anchor.tolist(), c.digest.tolist(), c.start.tolist(), c.count.tolist(), strict=True)
+
+
+def judged(picked: DataFrame, window: int, gram: int, shard: int, crowd: int) -> DataFrame:
+    """(a, d, bits) of segments that occur once: the windows of each that start elsewhere too, bit i for window i.
+
+    picked: (a, d, times, crowded, w), one row for each different segment (a, d) of word hashes w, and all those of its
+    anchor a beside it. Crowded anchors' segments are cut by a gram halfway to the window and judged in turn.
+    """
+    quiet = picked.where("not crowded")
+    shards = max(1, -(-quiet.count() // shard))
+
+    def judge(table: pa.Table) -> pa.Table:
+        seqs = list(zip(table["w"].to_pylist(), table["times"].to_pylist(), strict=True))
+        automaton = SuffixAutomaton(seqs)
+        got = []
+        for words, times in seqs:
+            bits = 0
+            if times == 1:
+                for i, (_, n) in enumerate(automaton.matches(words, window)):
+                    if n > 1:
+                        bits |= 1 << (i - window + 1)
+            got.append(bits)
+        return pa.table({"a": table["a"], "d": table["d"], "bits": pa.array(got, pa.int64())})
+
+    found = quiet.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInArrow(judge, "a long, d long, bits long")
+    dense = picked.where("crowded")
+    if not dense.limit(1).count():
+        return found
+    wider = window if window - gram <= window // 2 - 2 else (window + gram) // 2
+
+    def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for a, d, times, w in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                part = np.array(w, np.int64)
+                for a2, d2, first, n in segments(part, window, wider):
+                    out.append((a, d, times, first, a2, d2, w[first : first + n + window - 1]))
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["pa", "pd", "times", "at", "a", "d", "w"])
+
+    parts = dense.select("a", "d", "times", "w").mapInArrow(recut, "pa long, pd long, times long, at int, a long, d long, w array<long>")
+    # windows of different anchors differ: the anchor stays in the key, so that a frequent gram is divided too
+    parts = stored(parts.withColumn("a", F.xxhash64("pa", "a")), "recut")
+    kinds = stored(parts.groupBy("a", "d").agg(F.sum("times").alias("times"), F.first("w").alias("w")), "kinds")
+    if wider < window:
+        sums = stored(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("once")).where("kinds > 1 and once > 0").select("a", (F.col("kinds") > crowd).alias("crowded")), "sums")
+        below = judged(stored(kinds.join(sums, "a").select("a", "d", "times", "crowded", "w"), "picked"), window, wider, shard, crowd).where("bits <> 0")
+        known = kinds.where("times > 1").select("a", "d", F.lit(-1).cast("long").alias("bits")).unionByName(below)
+    else:
+        known = kinds.where("times > 1").select("a", "d", F.lit(1).cast("long").alias("bits"))
+    ups = parts.where("times = 1").select("pa", "pd", "at", "a", "d", (F.size("w") - window + 1).alias("n")).join(stored(known, "known"), ["a", "d"])
+    mine = F.when(F.col("bits") == -1, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1).otherwise(F.col("bits"))
+    lifted = ups.select(F.col("pa").alias("a"), F.col("pd").alias("d"), F.call_function("shiftleft", mine, F.col("at")).alias("bits"))
+    return found.unionByName(lifted.groupBy("a", "d").agg(F.bit_or("bits").alias("bits")))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
-    """(k, h, spans): for each document row key the word ranges (first, end) covered by windows that start elsewhere too."""
+    """(k, h, s): for each document row key its segments (p: first window << 8 | windows) with the bits of the windows that start
+    elsewhere too, -1 for all."""
     k, h = text_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(k.alias("k"), h.alias("h"), "text").where(F.length("text") >= 2 * window - 1)
 
@@ -169,15 +233,14 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["k", "h", "a", "d", "p"])
 
     cuts = stored(rows.mapInArrow(cut, "k long, h long, a array<long>, d array<long>, p array<long>").where("a is not null").withColumn("r", F.monotonically_increasing_id()), "cuts")
-    twice = cuts.select(F.explode("a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # every side of a join on anchors is a kept table or plain rows, so that adaptive execution can split a hot one
+    twice = stored(cuts.select(F.explode("a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "twice")
     each = cuts.select("r", F.explode(F.arrays_zip("a", "d", "p")).alias("s")).select("r", F.col("s.a").alias("a"), F.col("s.d").alias("d"), F.col("s.p").alias("p"))
     near = stored(each.join(twice, "a", "left_semi"), "near")
-    kinds = near.groupBy("a", "d").agg(F.count("*").alias("times"), F.min(F.struct("r", "p")).alias("one"))
+    kinds = stored(near.groupBy("a", "d").agg(F.count("*").alias("times"), F.min(F.struct("r", "p")).alias("one")), "kinds")
     # what an anchor's segments leave open: those that occur once, beside others
-    sums = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("once"))
-    kinds = stored(kinds.join(sums.where("once > 0"), "a", "left").select("a", "d", "times", "one", "kinds"), "kinds")
-    open_ = kinds.where("kinds is not null")
-    wanted = open_.select(F.col("one.r").alias("r"), F.struct("a", "d", F.col("one.p").alias("p"), "times", (F.col("kinds") > crowd).alias("crowded")).alias("s")).groupBy("r").agg(F.collect_list("s").alias("s"))
+    sums = stored(kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("once")).where("kinds > 1 and once > 0").select("a", (F.col("kinds") > crowd).alias("crowded")), "sums")
+    wanted = kinds.join(sums, "a").select(F.col("one.r").alias("r"), F.struct("a", "d", F.col("one.p").alias("p"), "times", "crowded").alias("s")).groupBy("r").agg(F.collect_list("s").alias("s"))
     wanted = wanted.join(cuts.select("r", "k", "h"), "r").select("k", "h", "s")
     # repeated rows have the same words: one of them is enough
     wanted = wanted.groupBy("k", "h").agg(F.flatten(F.collect_list("s")).alias("s"))
@@ -189,9 +252,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
                 hashes = word_hashes(split_words(t.as_py())).view(np.int64)
                 for s in wants:
                     first, n = s["p"] >> 8, s["p"] & 255
-                    part = hashes[first : first + n + window - 1]
-                    with np.errstate(over="ignore"):
-                        out.append((s["a"], s["d"], s["times"], s["crowded"], gram_hashes(part.view(np.uint64), window).view(np.int64) if s["crowded"] else part))
+                    out.append((s["a"], s["d"], s["times"], s["crowded"], hashes[first : first + n + window - 1]))
             cols = list(zip(*out, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["a", "d", "times", "crowded", "w"])
@@ -199,29 +260,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int
     keyed = docs.select(k.alias("k"), h.alias("h"), "text")
     texts = keyed.where(F.length("text") >= 2 * window - 1)
     picked = stored(texts.join(wanted, ["k", "h"]).select("text", "s").mapInArrow(pick, "a long, d long, times long, crowded boolean, w array<long>").dropDuplicates(["a", "d"]), "picked")
-    shards = max(1, -(-picked.where("not crowded").count() // shard))
-
-    def judge(table: pa.Table) -> pa.Table:
-        seqs = list(zip(table["w"].to_pylist(), table["times"].to_pylist(), strict=True))
-        automaton = SuffixAutomaton(seqs)
-        got = []
-        for words, times in seqs:
-            bits = 0
-            if times == 1:
-                for i, (_, n) in enumerate(automaton.matches(words, window)):
-                    if n > 1:
-                        bits |= 1 << (i - window + 1)
-            got.append(bits)
-        return pa.table({"a": table["a"], "d": table["d"], "bits": pa.array(got, pa.int64())})
-
-    open_bits = picked.where("not crowded").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInArrow(judge, "a long, d long, bits long")
-    crowd_w = picked.where("crowded").select("a", "d", "times", F.posexplode("w").alias("i", "w"))
-    again = crowd_w.groupBy("a", "w").agg(F.sum("times").alias("n")).where("n > 1").select("a", "w")
-    crowd_bits = crowd_w.where("times = 1").join(again, ["a", "w"], "left_semi").groupBy("a", "d").agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits"))
-    bits = open_bits.unionByName(crowd_bits).groupBy("a", "d").agg(F.max("bits").alias("bits"))
-    known = kinds.select("a", "d", "times").join(bits, ["a", "d"], "left").select("a", "d", F.when(F.col("times") > 1, F.lit(-1).cast("long")).otherwise(F.coalesce("bits", F.lit(0).cast("long"))).alias("bits")).where("bits <> 0")
+    open_ = judged(picked, window, gram, shard, crowd).where("bits <> 0")
+    known = stored(kinds.where("times > 1").select("a", "d", F.lit(-1).cast("long").alias("bits")).unionByName(open_), "known")
     hits = near.join(known, ["a", "d"]).groupBy("r").agg(F.collect_list(F.struct("p", "bits")).alias("s"))
-    return hits.join(cuts.select("r", "k", "h"), "r").groupBy("k", "h").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"))
+    # repeated rows have the same segments, and the same bits for them
+    return hits.join(cuts.select("r", "k", "h"), "r").groupBy("k", "h").agg(F.first("s").alias("s"))
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD, crowd: int = CROWD) -> DataFrame:
@@ -274,9 +317,11 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW
     """doc_id, n_words, n_removed, kept_text: words covered by runs of `window` words or more that occur in `reference` (text) go.
 
     The reference is read as a stream in shards of `shard_words` words at most (one text at least); the words of
-    each are broadcast, its automaton is built once a worker, and all documents are streamed through it.
+    each are broadcast, its automaton is built once a worker, and all documents are streamed through it. Each row of docs has
+    its row, repeated ones too. Null text: no words. Empty reference: nothing goes; empty docs: no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    k, h = text_key(F.col("doc_id"), F.col("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), k, h)
     spark, found = docs.sparkSession, None
 
     def streamed(sent, tag: str) -> DataFrame:
@@ -284,12 +329,12 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW
             automaton = held(("automaton", tag), lambda: SuffixAutomaton([(split_words(t), 1) for t in sent.value]))
             for b in batches:
                 out = []
-                for t in b.column(1):
+                for t in b.column(2):
                     edges = [i + 1 for i, (length, _) in enumerate(automaton.matches(split_words(t.as_py()), window)) if length >= window]
                     out.append(edges)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "text", "ends"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], names=["k", "h", "ends"])
 
-        return rows.mapInArrow(run, "doc_id long, text string, ends array<long>")
+        return rows.select("__vl_id", "__vl_hash", "text").mapInArrow(run, "k long, h long, ends array<long>").where("size(ends) > 0").dropDuplicates(["k", "h"])
 
     shard: list[str] = []
     size = 0
@@ -304,18 +349,19 @@ def remove_reference(docs: DataFrame, reference: DataFrame, window: int = WINDOW
             shard.append(r.text)
             size += n
     if found is None:
-        found = rows.withColumn("ends", F.array().cast("array<long>"))
+        found = rows.select(F.col("__vl_id").alias("k"), F.col("__vl_hash").alias("h"), F.array().cast("array<long>").alias("ends")).limit(0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for t, ends in zip(b.column(1), b.column(2).to_pylist(), strict=True):
                 words = split_words(t.as_py())
-                gone = {i for e in ends for i in range(e - window, e)}
+                gone = {i for e in ends or () for i in range(e - window, e)}
                 kept = [w for i, w in enumerate(words) if i not in gone]
                 out.append((len(words), len(gone), b" ".join(kept).decode("utf-8", "replace")))
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.large_string()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    merged = found.groupBy("doc_id", "text").agg(F.array_distinct(F.flatten(F.collect_list("ends"))).alias("ends"))
-    return merged.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    merged = found.groupBy("k", "h").agg(F.flatten(F.collect_list("ends")).alias("ends"))
+    both = rows.join(merged, (F.col("__vl_id") == F.col("k")) & F.col("__vl_hash").eqNullSafe(F.col("h")), "left")
+    return both.select("doc_id", "text", "ends").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
