@@ -226,7 +226,7 @@ def test_one_anchor_in_very_many_segments(spark):
     texts = {}
     for i in range(1500):
         w = list(passage)
-        w[rng.randrange(20)], w[40 + rng.randrange(20)] = f"x{rng.randrange(6)}", f"y{rng.randrange(6)}"
+        w[rng.randrange(20)], w[40 + rng.randrange(20)] = f"x{rng.randrange(60)}", f"y{rng.randrange(60)}"
         texts[i] = w
     d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
     want = {i: hashlib.sha256(" ".join(w).encode()).hexdigest() for i, w in plain_removed(texts, 35).items()}
