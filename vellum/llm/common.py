@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..session import saved, shared_dir, work_path
 
-__all__ = ["NULL_ID", "connected_components", "file_system", "held", "range_shards", "saved", "shard_of", "shared_dir", "text_key", "work_path"]
+__all__ = ["NULL_ID", "connected_components", "file_system", "held", "range_shards", "saved", "shard_of", "shared_dir", "stored", "text_key", "work_path"]
 
 #: stands for a null doc_id where a key must not be null
 NULL_ID = -(2**63)
@@ -25,6 +25,13 @@ def held(tag, make):
     return _held[tag]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a compressed table of the shared folder: its lineage ends there."""
+    path = work_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path in it); a bare path is local."""
     from pyarrow import fs

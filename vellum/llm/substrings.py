@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, text_key, work_path
+from .common import held, stored, text_key
 
 WINDOW, GRAM = 35, 8
 #: different segments of a shard on average, and of one anchor at most before a wider gram cuts them again
@@ -146,12 +146,6 @@ class SuffixAutomaton:
                 yield length, 0
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = work_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def segments(part: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, int, int, int]]:
     """(anchor, digest, first window, windows) of each segment of a run of word hashes."""
     c = Cut(part.view(np.uint64), window, gram)
