@@ -48,32 +48,37 @@ def text_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("__vl_id"), F.xxhash64(text).alias("__vl_hash")]
 
 
-def range_shards(df: DataFrame, key: str, weight: Column, target: int, cells: int = 1024, rounds: int = 4) -> list[int]:
-    """Lower bounds of ranges of the long column `key`, each of about `target` total weight.
+def range_shards(df: DataFrame, key: str, weight: Column, target: int, most: int = 1 << 14, cells: int = 1 << 10) -> list[int]:
+    """Lower bounds of ranges of the long column `key`, each of about `target` total weight, or of the `most`th part of all weight
+    where that is more.
 
-    The bounds depend on the rows alone, not on partitions or sampling: sums over at most `cells` equal cells of
-    the key's span come to the driver, and cells heavier than the target are cut again, up to `rounds` times.
-    A single key is never split. Empty input: one range.
+    The bounds depend on the rows alone, not on partitions or sampling. Sums over equal cells of the key's span come to
+    the driver; cells heavier than a range are cut again, all of them, until each fits or holds one key, which is never
+    split. What comes to the driver is bounded by `most` and `cells`. Empty input: one range.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    lo, hi, total = df.agg(F.min(key), F.max(key), F.sum(weight)).first()
     if lo is None:
         return [NULL_ID]
-    spans, sums = [(int(lo), int(hi) + 1)], {}
-    for turn in range(rounds):
-        which, start, width = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
-        per = max(1, cells // len(spans))
-        for a, b in spans:
-            w = max(1, -(-(b - a) // per))
-            inside = (F.col(key) >= F.lit(a)) & (F.col(key) < F.lit(b))
-            start, width = F.when(inside, F.lit(a)).otherwise(start), F.when(inside, F.lit(w)).otherwise(width)
-        which = F.floor((F.col(key) - start) / width)
-        found = df.where(start.isNotNull()).groupBy((start + which * width).alias("c"), width.alias("w")).agg(F.sum(weight).alias("s")).collect()
-        for c, w, s in found:
-            sums[int(c)] = (int(w), int(s or 0))
-        heavy = [c for c, (w, s) in sums.items() if s > target and w > 1]
-        if turn == rounds - 1 or not heavy or len(heavy) > cells // 4:
+    target = max(target, -(-int(total or 0) // most), 1)
+    # cells are aligned and their widths powers of two, so that the ends of the longs are no special case
+    width = 1 << max(0, (int(hi) - int(lo)).bit_length() - (cells.bit_length() - 1))
+    sums: dict[int, tuple[int, int]] = {}
+    heavy: dict[int, int] = {}
+    while True:
+        inside, w, low = df.where(F.col(key).isNotNull()), F.lit(width), F.col(key).bitwiseAND(F.lit(-width))
+        if heavy:
+            starts = sorted(heavy)
+            fine = max(4, (cells // len(starts)).bit_length() - 1)
+            at = shard_of(F.col(key), starts)
+            start, last, w = (F.get(longs(x), at) for x in (starts, [c + heavy[c] - 1 for c in starts], [max(1, heavy[c] >> fine) for c in starts]))
+            inside, low = inside.where((F.col(key) >= start) & (F.col(key) <= last)), F.col(key).bitwiseAND(-w)
+        found = inside.groupBy(low.alias("c"), w.alias("w")).agg(F.sum(weight).alias("s")).collect()
+        sums |= {int(c): (int(v), int(s or 0)) for c, v, s in found}
+        heavy = {int(c): int(v) for c, v, s in found if (s or 0) > target and v > 1}
+        if not heavy:
             break
-        spans = [(c, c + sums.pop(c)[0]) for c in heavy]
+        for c in heavy:
+            del sums[c]
     bounds, run = [NULL_ID], 0
     for c in sorted(sums):
         s = sums[c][1]
@@ -84,13 +89,13 @@ def range_shards(df: DataFrame, key: str, weight: Column, target: int, cells: in
     return bounds
 
 
-def shard_of(key: Column, bounds: list[int]) -> Column:
-    """The index of the range that holds key: a binary search by nested conditions; null goes to the first."""
+def longs(values: list[int]) -> Column:
+    """A constant array."""
+    return F.from_json(F.lit(str(values)), "array<bigint>")
 
-    def search(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), search(lo, mid)).otherwise(search(mid, hi))
 
-    return F.when(key.isNull(), F.lit(0)).otherwise(search(0, len(bounds)))
+def shard_of(key: Column, bounds: list[int]) -> Column:
+    """The index of the range that holds key: a binary search in a constant array; null and keys below the first go to the first."""
+    n, steps = len(bounds), [1 << i for i in reversed(range(max(1, (len(bounds) - 1).bit_length())))]
+    at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step < n) & (F.get(longs(bounds), at + step) <= key), at + step).otherwise(at))
+    return F.when(key.isNull(), F.lit(0)).otherwise(at)

@@ -177,9 +177,11 @@ class Reader:
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, shard: int = SHARD, block: int = BLOCK) -> list[dict]:
     """Writes the table of docs (doc_id, text) under `path` and returns its manifest, one entry a file, in key order.
 
-    Documents go to range shards of about `shard` bytes of text, whose bounds depend on the rows alone. A file is
-    written under a name of the attempt and then moved, so a task that is run again leaves one whole file; readers
-    go by manifest.json, which is moved into place last. Null text: the end id alone; null doc_id: before all others.
+    Documents go to range shards of about `shard` bytes of text, whose bounds depend on the rows alone; where very many
+    documents make shards larger, or one id has very many, a shard rolls over to its next file after `shard` bytes, so no
+    file or index outgrows its task. A file is written under a name of the attempt and then moved, so a task that is run
+    again leaves one whole file; readers go by manifest.json, which is moved into place last. Null text: the end id
+    alone; null doc_id: before all others.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sizes = saved(rows.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).alias("n")))
@@ -189,7 +191,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
         fs, root = file_system(path)
         enc, last = encoder(vocabulary), int(end)
         wide = max(enc.whole.get_vocab_size(), last + 1) > 1 << 16
-        now, out, writer = None, None, None
+        now, out, writer, seq, taken = None, None, None, 0, 0
 
         def done() -> pa.RecordBatch:
             n, tokens, size = writer.close()
@@ -199,16 +201,19 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
 
         for b in batches:
             for s, doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if s != now:
+                if s != now or taken >= shard:
                     if writer:
                         yield done()
-                    now, name, tag = s, f"shard-{s:06d}.sst", uuid.uuid4().hex
+                    seq = seq + 1 if s == now else 0
+                    now, name, tag, taken = s, f"shard-{s:06d}-{seq:04d}.sst", uuid.uuid4().hex, 0
                     out = fs.open_output_stream(f"{root}/{name}.tmp-{tag}")
                     writer = Writer(out, 4 if wide else 2, block)
-                ids = enc.ids(t.as_py()) + last.to_bytes(4, "little")
+                text = t.as_py() or ""
+                ids = enc.ids(text) + last.to_bytes(4, "little")
                 if not wide:
                     ids = np.frombuffer(ids, "<u4").astype("<u2").tobytes()
                 writer.add(key_of(doc), ids)
+                taken += len(text) + 8
         if writer:
             yield done()
 
@@ -216,7 +221,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = E
     fs.create_dir(root, recursive=True)
     placed = rows.withColumn("shard", shard_of(F.col("doc_id"), bounds))
     dealt = placed.repartitionById(len(bounds), F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    files = sorted((r.asDict() for r in dealt.select("shard", "doc_id", "text").mapInArrow(run, "shard int, name string, docs long, tokens long, bytes long").collect()), key=lambda r: r["shard"])
+    files = sorted((r.asDict() for r in dealt.select("shard", "doc_id", "text").mapInArrow(run, "shard int, name string, docs long, tokens long, bytes long").collect()), key=lambda r: (r["shard"], len(r["name"]), r["name"]))
     tmp = f"{root}/manifest.tmp-{uuid.uuid4().hex}"
     with fs.open_output_stream(tmp) as f:
         f.write(json.dumps({"vocabulary": vocabulary, "end": end, "files": files}).encode())
@@ -262,18 +267,21 @@ def lookup(path: str, doc_id: int | None) -> list[list[int]]:
     fs, root = file_system(path)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         files = json.loads(f.read())["files"]
-    out, lo, hi = [], 0, len(files) - 1
+    out, lo, hi, key = [], 0, len(files) - 1, key_of(doc_id)
     while lo < hi:
         mid = (lo + hi) // 2
         with fs.open_input_file(f"{root}/{files[mid]['name']}") as f:
-            if Reader(f).blocks[-1][0] < key_of(doc_id):
+            if Reader(f).blocks[-1][0] < key:
                 lo = mid + 1
             else:
                 hi = mid
-    if files:
-        with fs.open_input_file(f"{root}/{files[lo]['name']}") as f:
+    # one id's documents may go on in the next files
+    for x in files[lo:]:
+        with fs.open_input_file(f"{root}/{x['name']}") as f:
             table = Reader(f)
-            out = [list(memoryview(v).cast("I" if table.width == 4 else "H")) for v in table.get(key_of(doc_id))]
+            out += [list(memoryview(v).cast("I" if table.width == 4 else "H")) for v in table.get(key)]
+            if table.blocks[-1][0] > key:
+                break
     return out
 
 

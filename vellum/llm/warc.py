@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +24,7 @@ SHARD, ROLL, LEAST_PAYLOAD = 64 << 20, 16 << 20, 100
 DATE = "1970-01-01T00:00:00Z"
 FILES = "shard int, name string, records long, bytes long, sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, file string, position long"
+CONTROLS = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029]")
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -31,8 +33,8 @@ def record_name(page_id: int | None, digest: str) -> str:
 
 
 def header_value(text: str) -> str:
-    """text without what would end a header line: control characters and % as %XX of their bytes."""
-    return "".join(c if c >= " " and c not in "%\x7f\x85  " else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
+    """text without what would end a header line: control characters and line separators as %XX of their bytes."""
+    return CONTROLS.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
@@ -46,6 +48,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Record-ID: {record_name(page_id, digest)}",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {header_value(url)}"] if url is not None else []),
+        *([f"X-Target-As-Given: {json.dumps(url)}"] if url is not None and CONTROLS.search(url) else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         *([] if refers_to is None else ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]),
@@ -63,16 +66,11 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def unescape(value: str) -> str:
-    raw, at, out = value.encode(), 0, bytearray()
-    while at < len(raw):
-        if raw[at : at + 1] == b"%":
-            out.append(int(raw[at + 1 : at + 3], 16))
-            at += 3
-        else:
-            out.append(raw[at])
-            at += 1
-    return out.decode("utf-8", "replace")
+def opening(name: str, date: str) -> bytes:
+    """The warcinfo record that each file begins with."""
+    block = b"software: vellum\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def records(stream, size: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes, int]]:
@@ -102,7 +100,9 @@ def write(pages: DataFrame, path: str, shard: int = SHARD, roll: int = ROLL, lea
     """Writes a record for each row of pages (page_id, url, html) and returns the manifest's files in record order.
 
     Of records with equal payloads of at least `least` bytes, those of the smallest page_id are responses and the
-    others revisit them (a null page_id is never the smallest). Null html: an empty payload; null url: no such header.
+    others revisit them (a null page_id is never the smallest). Null html: an empty payload; null url: no target header,
+    though the standard asks for one; control characters of a url are written as %XX, all else as it is,
+    and a url with such is also kept as JSON in a header of its own.
     Rows go to their shard once; what revisits what is found on digests alone and travels as small rows beside them.
     Repeated rows of one page_id sort by url and digest.
     """
@@ -139,7 +139,9 @@ def write(pages: DataFrame, path: str, shard: int = SHARD, roll: int = ROLL, lea
                     seq = seq + 1 if s == now else 0
                     now = s
                 if out is None:
-                    out, n, size, sha = fs.open_output_stream(f"{root}/shard-{now:06d}-{seq:04d}.warc.gz.tmp-{tag}", compression=None), 0, 0, hashlib.sha256()
+                    name, first = f"shard-{now:06d}-{seq:04d}.warc.gz", member(opening(f"shard-{now:06d}-{seq:04d}.warc.gz", date))
+                    out, n, size, sha = fs.open_output_stream(f"{root}/{name}.tmp-{tag}", compression=None), 0, len(first), hashlib.sha256(first)
+                    out.write(first)
                 payload = (html.as_py() or "").encode("utf-8", "surrogatepass")
                 raw = member(record(page, url, payload, refers[2] if refers[:2] == (page, digest) else None, date))
                 out.write(raw)
@@ -172,13 +174,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 got = []
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
                     for h, block, at in records(f):
+                        if h["WARC-Type"] == "warcinfo":
+                            continue
                         digest, n = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["X-Payload-Length"])
                         if h["WARC-Type"] == "response":
                             payload = block.partition(b"\r\n\r\n")[2]
                             if len(payload) != n or hashlib.sha256(payload).hexdigest() != digest:
                                 raise ValueError(f"{name}: payload differs at {at}")
-                        page, ref, url = h.get("X-Page"), h.get("X-Refers-To-Page"), h.get("WARC-Target-URI")
-                        got.append((page and int(page), n, digest, h["WARC-Type"], ref and int(ref), url if url is None else unescape(url), name, at))
+                        page, ref, url = h.get("X-Page"), h.get("X-Refers-To-Page"), json.loads(h["X-Target-As-Given"]) if "X-Target-As-Given" in h else h.get("WARC-Target-URI")
+                        got.append((page and int(page), n, digest, h["WARC-Type"], ref and int(ref), url, name, at))
                 cols = list(zip(*got, strict=True)) or [()] * 8
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "file", "position"])
