@@ -34,7 +34,8 @@ def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, words=secrets.dictionary(docs))
 
 
 def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,16 +31,20 @@ FORMATS = {
     "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     "google_api_key": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe_key": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----",
+    "jwt": r"(?<![\w-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END (?:[A-Z]+ )*PRIVATE KEY-----)?",
 }
-NAMED = r"(?i:\b[\w.-]*(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\w.-]*)[\"']?\s*(?:=>|:=|=|:)\s*[\"']?(?P<named>[^\s\"',;]{6,}+)"
+# a name is one run of word characters, dots and hyphens, tried from its beginning alone and taken whole: time is linear in the text
+NAMED = r"(?i:(?<![\w.-])(?=[\w.-]*?(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential))[\w.-]++)[\"']?\s*+(?:=>|:=|=|:)\s*+[\"']?(?P<named>[^\s\"',;]{6,}+)"
 DENSE = r"(?<![\w+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])(?P<dense>[A-Za-z0-9_+/-]{16,}+={0,2})(?![\w+/-])"
 PATTERN = re.compile("|".join([*(f"(?P<{k}>{p})" for k, p in FORMATS.items()), NAMED, DENSE]))
 SECRET_WORDS = "token secret password passwd pwd key apikey credential credentials auth bearer login access private".split()
 HARMLESS_WORDS = "example sample test dummy placeholder fake demo hash sha sha1 sha256 md5 checksum digest commit revision uuid id version etag changeme your insert todo".split()
-DICTIONARY = sorted({*SECRET_WORDS, *HARMLESS_WORDS, *"user name value config string default local host admin root server client data file path url http https index table column number here null none true false this that with from have will when what which their there about other into time than only some could them also after first new work part place made over same help line turn move right think such large must even land here need house".split()} - {"id"}, key=lambda w: (-len(w), w))
-COVER = re.compile("|".join(w for w in DICTIONARY if len(w) > 2))
+#: words that cover a candidate where no corpus gives any
+DICTIONARY = frozenset({*SECRET_WORDS, *HARMLESS_WORDS, *"user name value config string default local host admin root server client data file path url http https index table column number here null none true false this that with from have will when what which their there about other into time than only some could them also after first new work part place made over same help line turn move right think such large must even land here need house".split()} - {"id"})
+#: most frequent words of a corpus that its dictionary holds, and the shortest and longest of them
+DICTIONARY_WORDS, SHORTEST, LONGEST = 20_000, 4, 24
+WORD = re.compile(r"[^\W\d_]{%d,%d}" % (SHORTEST, LONGEST))
 HARMLESS_PATH = re.compile(r"(?i)test|example|sample|fixture|mock|doc|readme|spec|demo")
 FEATURES = ["length", "transitions", "digits", "upper", "other", "distinct", "entropy", "longest_run", "hex", "covered", "placeholder", "format", "named", "harmless_path", "secret_beside", "harmless_beside"]
 RESULT = "doc_id long, start long, length int, kind string, secret_sha256 string, score double, is_secret boolean"
@@ -50,7 +54,31 @@ def kind_of(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def features(candidate: str, kind: str, path: str | None, before: str, after: str) -> list[float]:
+def covered(low: str, words: frozenset[str]) -> int:
+    """Characters that dictionary words cover, the longest word from each place on, left to right."""
+    at, n = 0, 0
+    while at < len(low):
+        if size := next((k for k in range(min(LONGEST, len(low) - at), 2, -1) if low[at : at + k] in words), 0):
+            n += size
+        at += size or 1
+    return n
+
+
+def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> frozenset[str]:
+    """DICTIONARY and the `most` words that occur most often in the whole texts of docs; equal counts by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n: Counter[str] = Counter()
+            for t in b.column(0):
+                n.update(WORD.findall((t.as_py() or "").lower()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return DICTIONARY | {r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
+
+
+def features(candidate: str, kind: str, path: str | None, before: str, after: str, words: frozenset[str] = DICTIONARY) -> list[float]:
     n, kinds = len(candidate), [kind_of(c) for c in candidate]
     counts, run, longest = Counter(candidate), 1, 1
     for a, b in zip(candidate, candidate[1:], strict=False):
@@ -69,7 +97,7 @@ def features(candidate: str, kind: str, path: str | None, before: str, after: st
         -sum(c / n * math.log2(c / n) for c in counts.values()),
         longest,
         float(all(c in string.hexdigits for c in candidate)),
-        sum(len(m) for m in COVER.findall(low)) / n,
+        covered(low, words) / n,
         float(any(w in low for w in ("xxxx", "example", "changeme", "your", "placeholder", "****", "1234567", "abcdef"))),
         float(kind in FORMATS),
         float(kind == "named"),
@@ -147,8 +175,9 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
     rng, out = random.Random(seed), []
     pick = lambda letters, a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
     word = lambda: "".join(rng.choice(("ti", "er", "on", "an", "the", "ou", "st", "la", "de", "ra")) for _ in range(rng.randint(1, 4)))
+    plain = sorted(DICTIONARY)
     wide, hexes, upper = string.ascii_letters + string.digits, string.digits + "abcdef", string.ascii_uppercase + string.digits
-    good_paths, soft_paths = ("src/app/settings.py", "deploy/prod.env", "src1", "src7", "config/main.yml", None), ("tests/fixtures/data.json", "docs/readme.md", "examples/demo.py", "src3", None)
+    good_paths, soft_paths = ("src/app/settings.py", "deploy/prod.env", "lib/client.rb", "config/main.yml", None), ("tests/fixtures/data.json", "docs/readme.md", "examples/demo.py", "lib/client.rb", None)
     for i in range(n):
         a, b = " ".join(word() for _ in range(3)), " ".join(word() for _ in range(2))
         if i % 2:
@@ -162,6 +191,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
                 lambda: f"{a} AIza{pick(wide, 35, 35)} {b}",
                 lambda: f"{a} eyJ{pick(wide, 12, 30)}.eyJ{pick(wide, 20, 60)}.{pick(wide, 30, 43)} {b}",
                 lambda: f"{a} -----BEGIN {rng.choice(('RSA ', 'EC ', ''))}PRIVATE KEY----- {b}",
+                lambda: "{0} -----BEGIN {1}PRIVATE KEY-----\n{2}\n-----END {1}PRIVATE KEY----- {3}".format(a, rng.choice(("RSA ", "EC ", "")), "\n".join(pick(wide + "+/", 64, 64) for _ in range(rng.randint(2, 26))), b),
                 lambda: f"{a} {name}{mark}{pick(hexes, 16, 48)} {b}",
                 lambda: f"{a} {name}{mark}{pick(wide + '!#%+', 10, 40)} {b}",
                 lambda: f"{a} bearer {pick(wide, 24, 60)} {b}",
@@ -173,7 +203,7 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
                 lambda: f"{a} uuid {pick(hexes, 8, 8)}-{pick(hexes, 4, 4)}-4{pick(hexes, 3, 3)}-a{pick(hexes, 3, 3)}-{pick(hexes, 12, 12)} {b}",
                 lambda: f"{a} {rng.choice(('password', 'token', 'api_key', 'secret'))}={rng.choice(('changeme', 'your_password_here', 'example-token', 'xxxxxxxxxxxx', '<password>', 'placeholder', 'test1234567', '************'))} {b}",
                 lambda: f"{a} {rng.choice(('password', 'token', 'secret'))}: {rng.choice(('required', 'optional', 'string', 'config.value', 'os.environ[NAME]', 'get_token()', '${SECRET}', word() + word()))} {b}",
-                lambda: f"{a} {'_'.join((rng.choice(DICTIONARY), rng.choice(DICTIONARY), rng.choice(DICTIONARY), str(rng.randint(1, 99))))}_{word()}{word()} {b}",
+                lambda: f"{a} {'_'.join((rng.choice(plain), rng.choice(plain), rng.choice(plain), str(rng.randint(1, 99))))}_{word()}{word()} {b}",
                 lambda: f"{a} version-{rng.randint(1, 20)}-{rng.randint(0, 99)}-{word()}{word()}{word()} {b}",
                 lambda: f"{a} AKIA{rng.choice(('IOSFODNN7EXAMPLE', 'XXXXXXXXXXXXXXXX', '1234567890123456'))} example {b}",
                 lambda: f"{a} https/static/{word()}/{rng.randint(1990, 2030)}/{word()}{word()}/{word()} {b}",
@@ -182,31 +212,40 @@ def labelled_findings(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, st
     return out
 
 
-def forest_of(findings: list[tuple[str | None, str, int]], most: int = LABELLED) -> Forest:
+def findings_of(table: DataFrame, most: int = LABELLED) -> list[tuple[str | None, str, int]]:
+    """The first `most` labelled findings of a table (path, text, label) by hash of path and text; null texts and labels are none."""
+    t = table.where("text is not null and label is not null").select(F.col("path").cast("string"), F.col("text").cast("string"), F.col("label").cast("int"))
+    return [tuple(r) for r in t.orderBy(F.xxhash64("path", "text"), "path", "text", "label").limit(most).collect()]
+
+
+def forest_of(findings: list[tuple[str | None, str, int]], most: int = LABELLED, words: frozenset[str] = DICTIONARY) -> Forest:
     """Fitted on every candidate of the first `most` findings by hash of their text."""
     first = sorted(findings, key=lambda f: hashlib.sha256(f[1].encode("utf-8", "surrogatepass")).digest())[:most]
-    rows = [(features(c, kind, path, a, b), label) for path, text, label in first for _, c, kind, a, b in candidates(text)]
+    rows = [(features(c, kind, path, a, b, words), label) for path, text, label in first for _, c, kind, a, b in candidates(text)]
     return fit(np.array([r[0] for r in rows], float).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float))
 
 
-def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source", least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest | None = None, path: str = "source", least: float = 0.5, words: frozenset[str] = DICTIONARY) -> DataFrame:
     """A row for each candidate in the whole text of each row of docs: doc_id, start, length, kind, secret_sha256, score, is_secret.
 
-    start and length in code points, of the whole value however long it is; the secret itself is not shown, only its digest. `path`: the column that says
-    where the text is from, ignored if missing. Null and empty texts have no rows; repeated rows have theirs each.
+    start and length in code points, of the whole value however long it is, a private key with its body; the secret
+    itself is not shown, only its digest. `path`: the column that says where the text is from, ignored if missing.
+    `words`: the dictionary that the forest was fitted with. Null and empty texts have no rows; repeated rows have
+    theirs each.
     """
-    forest = forest or forest_of(labelled_findings())
-    sent = docs.sparkSession.sparkContext.broadcast(forest)
+    forest = forest or forest_of(labelled_findings(), words=words)
+    sent = docs.sparkSession.sparkContext.broadcast((forest, words))
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, known = sent.value
         for b in batches:
             found, x = [], []
             for doc, t, p in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 for a, c, kind, before, after in candidates(t.as_py()):
                     found.append((doc, a, len(c), kind, hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest()))
-                    x.append(features(c, kind, p, before, after))
-            score = sent.value.scores(np.array(x, float).reshape(-1, len(FEATURES)))
+                    x.append(features(c, kind, p, before, after, known))
+            score = forest.scores(np.array(x, float).reshape(-1, len(FEATURES)))
             cols = list(zip(*found, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(score), pa.array(score >= least)], names=["doc_id", "start", "length", "kind", "secret_sha256", "score", "is_secret"])
