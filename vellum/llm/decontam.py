@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A document leaks an item if some run of its words is within the item's error budget of edits (a fifth of its words).
-An item cut into budget + 1 pieces must have one piece unharmed in such a run: an automaton over all pieces finds
+A document leaks an item if some run of its words is within the item's error budget of edits: a fifth of its words, none
+for items of fewer than LEAST_WORDS words. An item cut into budget + 1 pieces must have one piece unharmed in such a run: an automaton over all pieces finds
 those, and Myers' bit-parallel distance, over words, verifies the surroundings.
 """
 
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, saved, stored
 
 WORD = re.compile(r"\w+")
 LEAST_WORDS, ERRORS = 5, 0.2
@@ -60,24 +60,17 @@ def myers(pattern: list[str], text: list[str], budget: int) -> tuple[int, int] |
 
 
 class Index:
-    """All pieces of some items. Items with equal words count as one, under their smallest id."""
+    """All pieces of some items (item_id, words joined by spaces), no two with equal words."""
 
     def __init__(self, items: list[tuple[int, str]], errors: float, least_words: int):
         import ahocorasick
 
-        first: dict[tuple[str, ...], int] = {}
-        for i, t in items:
-            key = tuple(words_of(t))
-            if key:
-                first[key] = min(i, first.get(key, i))
-        self.items = [(i, list(k), int(errors * len(k))) for k, i in sorted(first.items(), key=lambda x: x[1])]
-        self.short = {tuple(w): i for i, w, _ in self.items if len(w) < least_words}
+        self.items = [(i, w, int(errors * len(w)) if len(w) >= least_words else 0) for i, w in ((i, t.split(" ")) for i, t in items)]
         self.found = ahocorasick.Automaton()
         for n, (_, w, budget) in enumerate(self.items):
-            if len(w) >= least_words:
-                for a, b in cut(w, budget):
-                    piece = f" {' '.join(w[a:b])} "
-                    self.found.add_word(piece, [*self.found.get(piece, ()), (n, a, len(piece))])
+            for a, b in cut(w, budget):
+                piece = f" {' '.join(w[a:b])} "
+                self.found.add_word(piece, [*self.found.get(piece, ()), (n, a, len(piece))])
         if len(self.found):
             self.found.make_automaton()
 
@@ -85,8 +78,6 @@ class Index:
         """(item_id, distance, item words, start word, words) of each item that the text leaks: its nearest run, the first of equals."""
         words = words_of(text)
         out = []
-        if len(words) < LEAST_WORDS and (hit := self.short.get(tuple(words))) is not None:
-            out.append((hit, 0, len(words), 0, len(words)))
         if not len(self.found) or not words:
             return out
         line, near, starts = f" {' '.join(words)} ", {}, None
@@ -113,15 +104,26 @@ class Index:
         return out
 
 
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words): the items' words joined by spaces, each sequence once, under its smallest item_id; wordless and null ones go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(words_of(t.as_py())) for t in b.column(1)], pa.string())], names=["item_id", "words"])
+
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "item_id long, words string").where("words <> ''").groupBy("words").agg(F.min("item_id").alias("item_id")).select("item_id", "words")
+
+
 def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most `size` code points (one item at least), read as a stream."""
+    """The items in blocks of at most `size` code points (one item at least), by item_id, read as a stream."""
     block, n = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).distinct().toLocalIterator():
-        if block and n + len(r.t) > size:
+    for r in saved(items_of(benchmark)).orderBy("item_id").toLocalIterator():
+        if block and n + len(r.words) > size:
             yield block
             block, n = [], 0
-        block.append((r.i, r.t))
-        n += len(r.t)
+        block.append((r.item_id, r.words))
+        n += len(r.words)
     if block:
         yield block
 
@@ -143,16 +145,16 @@ class _Sent:
         return self.held.value
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least_words: int = LEAST_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least_words: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
     """One row for each document row and item it leaks: doc_id, item_id, distance, item_words, start_word, n_words.
 
-    Words are runs of word characters of the lower-cased text. Items of fewer than `least_words` words only match
-    documents that are nothing else. Items with equal words are one, under the smallest item_id. Null and empty texts
-    leak nothing; repeated document rows each have their rows. Empty benchmark or documents: no rows.
+    Words are runs of word characters of the lower-cased text. Items of fewer than `least_words` words must occur as they
+    are. Items with equal words are one, under the smallest item_id, in whatever blocks they would be. Null and empty
+    texts leak nothing; repeated document rows each have their rows. Empty benchmark or documents: no rows.
     """
     spark, out = docs.sparkSession, None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for items in blocks(benchmark):
+    for items in blocks(benchmark, block):
         sent = _Sent(spark, items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -167,10 +169,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least_w
     return spark.createDataFrame([], RESULT) if out is None else out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs without the rows that leak an item; all columns stay, one pass over the texts for each block of items."""
-    place, out = docs.columns.index("text"), docs
-    for items in blocks(benchmark):
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, least_words: int = LEAST_WORDS, block: int = BLOCK) -> DataFrame:
+    """docs without the rows that leak an item, as in leaks; all columns stay.
+
+    One pass over the texts for each block of items; between blocks what is left is kept as a table of the shared
+    folder, so that a task never holds more than one index.
+    """
+    place, out = docs.columns.index("text"), None
+    for items in blocks(benchmark, block):
         sent = _Sent(docs.sparkSession, items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -178,5 +184,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS,
             for b in batches:
                 yield b.filter(pa.array([not index.matches(t.as_py()) for t in b.column(place)], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        out = (docs if out is None else stored(out, "clean")).mapInArrow(run, docs.schema)
+    return docs if out is None else out
