@@ -137,6 +137,13 @@ def test_simhash_whole(spark, data):
     assert got == {i: (f"{f:016x}", low[roots[f]]) for i, f in docs.items()}
 
 
+def test_one_document_stays_where_texts_share_an_id(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    d = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (7, b, 4), (3, a, 5), (None, a, 6)], "doc_id long, text string, note int")
+    got = [(r.doc_id, r.text) for r in simhash.keep_first(d).collect()]
+    assert sorted(got, key=repr) == [(3, a), (5, b), (None, a)]
+
+
 def test_spark_and_library_hash_alike(spark):
     assert spark.sql("SELECT xxhash64('some shingle of words') AS x").first().x & 2**64 - 1 == xxhash.xxh64_intdigest(b"some shingle of words", 42)
 
@@ -173,6 +180,21 @@ def test_spotsigs_plan_has_no_python(spark, data):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_similar_sets_are_those_of_all_pairs(spark, data):
+    rng = random.Random(3)
+    texts = {i: [f"{rng.choice(('the', 'of', 'and'))} w{rng.randrange(400)} w{rng.randrange(400)}" for _ in range(rng.randint(1, 60))] for i in range(60)}
+    for i in range(60, 200):
+        texts[i] = [w if rng.random() > 0.06 else f"the n{rng.randrange(400)} x" for w in texts[i % 60]]
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] + [(900, None), (None, "no id"), (901, "")], "doc_id long, text string")
+    sigs = {r.doc_id: frozenset(r.sigs) for r in spotsigs.with_signatures(d.where("doc_id < 900"), "text", "sigs").collect()}
+    name = {}
+    for i, x in sorted(sigs.items()):
+        name.setdefault(x, i)
+    ids = sorted(name.values())
+    want = {(a, b): len(sigs[a] & sigs[b]) / len(sigs[a] | sigs[b]) for a in ids for b in ids if a < b and len(sigs[a] & sigs[b]) >= 0.7 * len(sigs[a] | sigs[b])}
+    assert len(want) > 30 and {(r.a, r.b): r.likeness for r in spotsigs.similar(d, 0.7).collect()} == want
+
+
 def test_pruned_likeness_is_exact_from_the_threshold_on(spark):
     rng = random.Random(5)
     rows = [(sorted(rng.sample(range(30), rng.randint(1, 25))), sorted(rng.sample(range(30), rng.randint(1, 25)))) for _ in range(400)]

@@ -35,15 +35,18 @@ def simhash(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of docs; whole texts, one pass, no shuffle."""
+def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of each row of docs, and with `keyed` h, its text's hash; whole texts, one
+    pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash(t.as_py(), width) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps)], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h")).mapInArrow(run, "doc_id long, h long, fp long")
+    return out if keyed else out.drop("h")
 
 
 def masks(radius: int) -> list[int]:
@@ -91,13 +94,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 
 def keep_first(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the smallest doc_id. Repeated rows of that id count once.
+    """docs with one row of each near-duplicate component: that of the smallest doc_id, of several texts under it the one with
+    the smallest hash. Repeated rows of that document count once.
 
     All columns stay. Rows without a doc_id are kept as they are, since no id decides between them.
     """
-    found = saved(near_duplicates(docs.where("doc_id is not null"), width, radius))
-    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").select(*docs.columns)
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = saved(fingerprints(rows, width, keyed=True))
+    found = prints.join(connected_components(links(prints, radius)), F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.struct("doc_id", "h").alias("who"))
+    keepers = saved(found.groupBy("root").agg(F.min("who").alias("who")).select(F.col("who.doc_id").alias("__vl_id"), F.col("who.h").alias("__vl_hash")))
+    kept = named.withColumns({"__vl_id": F.col("doc_id").cast("long"), "__vl_hash": F.xxhash64(F.col("text").cast("string"))}).join(keepers, ["__vl_id", "__vl_hash"], "left_semi")
+    if kept.groupBy("__vl_id", "__vl_hash").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__vl_id", "__vl_hash"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
