@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: bound of the labelled findings that the forest is fitted on
 LABELLED = 6000
 TREES, DEPTH, LEAST_LEAF, SEED = 40, 9, 4, 7
@@ -65,7 +67,8 @@ def covered(low: str, words: frozenset[str]) -> int:
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> frozenset[str]:
-    """DICTIONARY and the `most` words that occur most often in the whole texts of docs; equal counts by word."""
+    """DICTIONARY and up to `most` words, those that occur most often in the whole texts of docs; words of (nearly) equal counts
+    are in together or not at all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,7 +78,15 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY_WORDS) -> frozenset[str]:
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
 
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return DICTIONARY | {r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()}
+    counts = stored(counts.withColumn("level", F.floor(64 * F.log2("n")).cast("int")), "words")
+    # levels of frequency from the top, as many as fit: a few thousand at most, whatever the vocabulary
+    taken, lowest = 0, None
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
+        taken += r.words
+        if taken > most:
+            break
+        lowest = r.level
+    return DICTIONARY | ({r.word for r in counts.where(F.col("level") >= lowest).select("word").collect()} if lowest is not None else set())
 
 
 def features(candidate: str, kind: str, path: str | None, before: str, after: str, words: frozenset[str] = DICTIONARY) -> list[float]:
