@@ -154,12 +154,17 @@ def cursor_of(c: Column) -> Column:
     return F.from_json(F.unbase64(F.translate(c, "-_", "+/")).cast("string"), "offset long, page long")
 
 
-def word_overlap(left: Column, right: Column, most: int = 64) -> Column:
-    """Words of the longest suffix of one passage (at most `most`) that begins the next."""
+def word_overlap(left: Column, right: Column) -> Column:
+    """Words of the longest suffix of one passage that begins the next.
+
+    The passages' words are compared as strings ended by spaces: a suffix is tried only where the next passage's first
+    word stands, so the work grows with how often that word occurs, and whole strings are compared there.
+    """
     a, b = F.split(F.trim(left), r"\s+"), F.split(F.trim(right), r"\s+")
-    n = F.least(F.lit(most), F.size(a), F.size(b))
-    fits = F.filter(F.sequence(F.lit(0), n), lambda k: (k == 0) | (F.slice(a, F.greatest(F.lit(1), F.size(a) - k + 1), F.greatest(k, F.lit(1))) == F.slice(b, F.lit(1), F.greatest(k, F.lit(1)))))
-    return F.array_max(fits)
+    start = F.concat(F.array_join(b, " "), F.lit(" "))
+    places = F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (F.get(a, i) == F.get(b, 0)) & (F.size(a) - i <= F.size(b)))
+    fits = F.filter(places, lambda i: start.startswith(F.concat(F.array_join(F.slice(a, i + 1, F.size(a)), " "), F.lit(" "))))
+    return F.coalesce(F.size(a) - F.array_min(fits), F.lit(0))
 
 
 def source_label(doc_id: Column) -> Column:
@@ -198,13 +203,16 @@ def foreign_scope(c: Column, anchors: list[str], domains: dict[str, str]) -> Col
     return F.when(~own, out)
 
 
+def same_opening(a: Column, b: Column, n: int = 100) -> Column:
+    """Two texts begin with the same n characters of their keys."""
+    return F.coalesce(F.length(title_key(a)) >= n, F.lit(False)) & (F.left(title_key(a), F.lit(n)) == F.left(title_key(b), F.lit(n)))
+
+
 def corroborated(title_a: Column, title_b: Column, abs_a: Column, abs_b: Column) -> Column:
-    """Titles agree by half of their words, or abstracts begin with the same hundred characters."""
-    a, b = title_tokens(title_a), title_tokens(title_b)
-    xa, xb = F.substring(title_key(abs_a), 1, 100), F.substring(title_key(abs_b), 1, 100)
-    return ((F.size(a) > 0) & (F.size(b) > 0) & (jaccard(a, b) >= 0.5)) | ((F.length(xa) >= 100) & (xa == xb))
+    """Titles share half of their words, or abstracts begin alike: what an identifier found in an address needs beside it."""
+    return F.coalesce(jaccard(title_tokens(title_a), title_tokens(title_b)) >= 0.5, F.lit(False)) | F.coalesce(same_opening(abs_a, abs_b), F.lit(False))
 
 
 def vector_sha256(v: Column) -> Column:
-    """The content hash of a vector: its values to six decimals, in order."""
-    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("decimal(20,6)").cast("string")), ","), F.lit("]")), 256)
+    """The content hash of a vector's values as 32-bit floats: each written in the shortest way that reads back as the same float."""
+    return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: (x.cast("float") + F.lit(0).cast("float")).cast("string")), ","), F.lit("]")), 256)

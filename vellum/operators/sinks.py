@@ -16,41 +16,52 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current(spark: SparkSession, root: str) -> dict:
-    """The manifest of a snapshot root: {version, path}; version 0 and no path where nothing is published."""
+    """The manifest of a snapshot root: {version, path}; version 0 and no path where nothing is published.
+
+    Versions are marker files by number; the last one that reads whole is current.
+    """
+    for _, at in sorted(_markers(spark, root), reverse=True):
+        fs, path = _fs(spark, at)
+        stream = fs.open(path(at))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            continue  # its writer died between making and filling it: the version before it stays current
+        finally:
+            stream.close()
+    return {"version": 0, "path": None}
+
+
+def _markers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
     fs, path = _fs(spark, root)
-    at = path(f"{root}/CURRENT")
-    if not fs.exists(at):
-        return {"version": 0, "path": None}
-    stream = fs.open(at)
-    try:
-        return json.loads(bytes(stream.readAllBytes()).decode())
-    finally:
-        stream.close()
+    folder = path(f"{root}/versions")
+    return [(int(x.getPath().getName()), str(x.getPath())) for x in fs.listStatus(folder) if x.getPath().getName().isdigit()] if fs.exists(folder) else []
 
 
 def publish(df: DataFrame, root: str, expected: int | None = None, partition_by: list[str] | None = None) -> int:
-    """Writes df as the next version under root and points CURRENT at it; the old version stays readable.
+    """Writes df as the next version under root; the old version stays readable.
 
-    `expected`: the version that must be current, or the publication is refused. The marker is written beside and
-    renamed over, so readers see the old version or the new one, never half of one; a rerun makes another version.
+    `expected`: the version that must be current, or the publication is refused. The next number's marker is made
+    only if nobody has made it, after the data are there: of several publishers one gets the number, and nothing is
+    ever deleted or replaced, so readers see the old version or the new one. A rerun makes another version.
     """
     spark, now = df.sparkSession, current(df.sparkSession, root)
     if expected is not None and now["version"] != expected:
         raise ValueError(f"version {now['version']} is current, not {expected}")
-    version, where = now["version"] + 1, f"{root}/v-{now['version'] + 1:06d}-{uuid.uuid4().hex}"
-    w = df.write.partitionBy(*partition_by) if partition_by else df.write
-    w.parquet(where)
+    version = max([now["version"], *(n for n, _ in _markers(spark, root))]) + 1
+    where = f"{root}/v-{version:06d}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(where)
     fs, path = _fs(spark, root)
-    tmp = path(f"{root}/CURRENT.{uuid.uuid4().hex}")
-    out = fs.create(tmp)
-    out.write(bytearray(json.dumps({"version": version, "path": where}).encode()))
-    out.close()
     if current(spark, root)["version"] != now["version"]:
-        fs.delete(tmp, False)
         raise ValueError("another publication came first")
-    fs.delete(path(f"{root}/CURRENT"), False)
-    if not fs.rename(tmp, path(f"{root}/CURRENT")):
-        raise OSError(f"{root}/CURRENT was not replaced")
+    try:
+        out = fs.create(path(f"{root}/versions/{version:08d}"), False)
+    except Exception as e:
+        if fs.exists(path(f"{root}/versions/{version:08d}")):
+            raise ValueError("another publication came first") from e
+        raise
+    out.write(bytearray(json.dumps({"version": version, "path": where}).encode()))
+    out.close()
     return version
 
 
