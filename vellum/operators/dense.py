@@ -30,11 +30,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def scores(vectors: DataFrame, queries: DataFrame, qid: str = "vec_id", vid: str = "vec_id", vector: str = "embedding", keep: int | None = None, group: str | None = None, least: float | None = None) -> DataFrame:
+def scores(vectors: DataFrame, queries: DataFrame, qid: str = "vec_id", vid: str = "vec_id", vector: str = "embedding", keep: int | None = None, group: str | None = None, least: float | None = None, below: float | None = None, margin: float = 0.0) -> DataFrame:
     """(qid, vec_id, group, score): dot products rounded to six digits, a row never with itself.
 
-    keep: only the best so many of each query (and group) within a batch leave it, for a later top-k over all;
-    least: only scores from there on. Ties: the smaller id first. Null vectors are no rows.
+    keep: only the best so many of each query (and group) within a batch leave it, with their ties and what is less than
+    `margin` worse, for a later top-k over all; least, below: only scores from the one up to the other. Null vectors are
+    no rows.
     """
     spark, out = vectors.sparkSession, None
     extra = F.col(group).cast("long") if group else F.lit(0).cast("long")
@@ -49,17 +50,19 @@ def scores(vectors: DataFrame, queries: DataFrame, qid: str = "vec_id", vid: str
                 if not len(vid_):
                     continue
                 s = np.round(q @ _matrix(b.column(2)).T, 6) + 0.0
-                if keep is None:
-                    i, j = np.nonzero((qids[:, None] != vid_[None, :]) & (s >= (-np.inf if least is None else least)))
-                else:
-                    parts = []
+                ok = qids[:, None] != vid_[None, :]
+                if least is not None:
+                    ok &= s >= least
+                if below is not None:
+                    ok &= s < below
+                if keep is not None:
+                    s[~ok] = -np.inf
                     for g in np.unique(grp):
                         mine = np.flatnonzero(grp == g)
-                        for i_ in range(len(qids)):
-                            ok = mine[vid_[mine] != qids[i_]]
-                            best = ok[np.lexsort((vid_[ok], -s[i_, ok]))[:keep]]
-                            parts.append((np.full(len(best), i_), best))
-                    i, j = (np.concatenate([p[k] for p in parts]) for k in (0, 1)) if parts else (np.zeros(0, int), np.zeros(0, int))
+                        if len(mine) > keep:
+                            part = s[:, mine]
+                            ok[:, mine] &= part >= np.partition(part, len(mine) - keep, axis=1)[:, len(mine) - keep, None] - margin
+                i, j = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(vid_[j]), pa.array(grp[j]), pa.array(s[i, j])], names=["qid", "vec_id", "grp", "score"])
 
         part = rows.mapInArrow(run, "qid long, vec_id long, grp long, score double")

@@ -162,7 +162,8 @@ SELECT qid, vec_id, fused, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_
 def citation_prior_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP7 AGG8: cosine plus a citation prior, 0.03 of a logarithm that is full at a thousand citations."""
     deg = citations(spark, sf_dir).groupBy(F.col("dst").alias("vec_id")).agg(F.count("*").alias("indegree"))
-    e = _all_scores(spark, sf_dir).join(deg, "vec_id", "left").withColumn("indegree", F.coalesce("indegree", F.lit(0).cast("long")))
+    # the prior adds 0.03 at most: what is further behind the fortieth has no chance
+    e = dense.scores(load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), keep=40, margin=0.031).join(deg, "vec_id", "left").withColumn("indegree", F.coalesce("indegree", F.lit(0).cast("long")))
     e = e.withColumn("prior_score", F.round(F.col("score") + 0.03 * F.least(F.lit(1.0), F.log1p("indegree") / F.log1p(F.lit(1000.0))), 6))
     return lexical.top(e, "qid", 40, [F.desc("prior_score"), "vec_id"]).select("qid", "vec_id", "score", "indegree", "prior_score", "rank")
 
@@ -176,8 +177,8 @@ SELECT qid, vec_id, score, indegree, prior_score, CAST(rank AS INT) AS rank FROM
 
 def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FUS20: sparse dot products of items' and documents' term counts, the ten best documents an item."""
-    tf = lexical.postings(load(spark, sf_dir, "documents"))
-    qf = lexical.postings(load(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("tf", "qf")
+    qf = lexical.postings(load(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term", F.col("tf").alias("qf"))
+    tf = lexical.postings(load(spark, sf_dir, "documents"), only=qf)
     s = tf.join(qf, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("score"))
     return lexical.top(s, "item_id", 10, [F.desc("score"), "doc_id"])
 
@@ -222,7 +223,7 @@ SELECT item_id, doc_id, fused, CAST(rank AS INT) AS rank FROM (SELECT *, row_num
 
 def similar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP11 API7: the six nearest by stored vector, equal vectors (twins) left out."""
-    found = dense.scores(load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir)).where("score < 0.999999")
+    found = dense.scores(load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), keep=6, below=0.999999)
     return lexical.top(found, "qid", 6, [F.desc("score"), "vec_id"]).select("qid", "vec_id", "score", "rank")
 
 
@@ -243,7 +244,8 @@ def rank_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FUS14 FUS16 SUP18: each source has one vote a channel (its best rank); channels fuse, ties by source."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source")
     words = lexical.top(lex(spark, sf_dir), "item_id", 100, [F.desc("score"), "doc_id"])
-    dots = lexical.postings(load(spark, sf_dir, "documents")).join(lexical.postings(load(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("tf", "qf"), "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("score"))
+    qf = lexical.postings(load(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term", F.col("tf").alias("qf"))
+    dots = lexical.postings(load(spark, sf_dir, "documents"), only=qf).join(qf, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("tf") * F.col("qf")).alias("score"))
     dots = lexical.top(dots, "item_id", 100, [F.desc("score"), "doc_id"])
     votes = [x.join(d, "doc_id").groupBy("item_id", "source").agg(F.min("rank").alias("best")) for x in (words, dots)]
     lists = [(fusion.ranked(v, "item_id", "best", "source"), w) for v, w in zip(votes, (1.0, 0.6), strict=True)]
