@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import identifiers as I
 from vellum.functions import text as T
 from vellum.functions import vectors as V
-from vellum.operators import chunking, components, dense, fusion, graph, lexical, quality, ranking, registry, twins
+from vellum.operators import chunking, components, dense, fusion, graph, lexical, quality, ranking, registry, sinks, twins
 from vellum.sources import formats
 from vellum.streaming import events as S
 
@@ -213,3 +213,35 @@ def test_last_helpers(spark):
     reps = spark.createDataFrame([(1, "s", "s", "own_passage"), (2, "s", "o", "citation_context"), (3, "t", "t", "own_passage")], "rep_id int, source string, owner string, kind string")
     src = spark.createDataFrame([("s", 2020), ("t", 1999)], "source string, year int")
     assert [r.rep_id for r in generation.qualified(reps, src, src.where("source <> 'o'"), F.col("year") > 2000).collect()] == [1]
+
+
+def test_parts_and_shared_tasks_are_no_twins(spark):
+    titles = {1: "on the deep learning of large graphs part i", 2: "on the deep learning of large graphs part ii", 3: "deep learning of large graphs part i again", 4: "semeval system for deep text learning tasks", 5: "semeval system for deep text learning task"}
+    d = spark.createDataFrame(list(titles.items()), "doc_id long, title string").select("doc_id", T.title_tokens(F.col("title")).alias("w"))
+    pairs, _ = twins.fuzzy_pairs(d, "doc_id", "w")
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 3)}
+
+
+def test_citation_markers_each_have_their_context(spark):
+    text = "words before it that are long enough to be of use \\cite{k, m} and words between them that go on and on [3] and [3] end"
+    got = [(r.marker, r.key, r.context) for r in chunking.citation_contexts(spark.createDataFrame([(1, text), (2, None), (3, "none")], "doc_id long, text string")).orderBy("marker", "key").collect()]
+    parts = text.replace("\\cite{k, m}", "|").replace("[3]", "|").split("|")
+    assert got == [(0, "k", f"{parts[0]}[CITE]{parts[1]}"), (0, "m", f"{parts[0]}[CITE]{parts[1]}"), (1, "3", f"{parts[1]}[CITE]{parts[2]}"), (2, "3", f"{parts[2]}[CITE]{parts[3]}")]
+    assert {r.marker for r in chunking.citation_contexts(spark.createDataFrame([(1, text)], "doc_id long, text string"), usable=True).collect()} == {0}
+
+
+def test_a_publication_that_died_leaves_the_version_before_it(spark, tmp_path):
+    root, d = str(tmp_path / "p"), spark.range(3)
+    assert sinks.publish(d, root) == 1
+    (tmp_path / "p" / "versions" / "00000002").write_text("")
+    assert sinks.current(spark, root)["version"] == 1 and sinks.publish(d.limit(1), root, expected=1) == 3 and sinks.read(spark, root).count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from vellum.session import shared_dir
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(far)

@@ -159,11 +159,22 @@ def chunk(docs: DataFrame, elements: Callable[[str], list[tuple[str, str, str]]]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNK)
 
 
-def citation_contexts(docs: DataFrame, width: int = 200) -> DataFrame:
-    """(doc_id, key, context) for each citation command of LaTeX or [n] marker: text around it, the marker itself as [CITE]."""
-    mark = r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{[^}]*\}|\[[0-9]+(?:, ?[0-9]+)*\]"
-    x = docs.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({mark})"), F.lit(1)))).alias("marker"))
-    keys = F.split(F.regexp_replace(F.regexp_replace("marker", r"^\\cite[a-z]*\*?(\[[^\]]*\])*\{", ""), r"[\[\]{}]", ""), r"\s*,\s*")
-    at = F.expr("locate(marker, text)")
-    context = F.concat(F.expr(f"substring(text, greatest(1, locate(marker, text) - {width}), least({width}, locate(marker, text) - 1))"), F.lit("[CITE]"), F.substring(F.col("text"), at + F.length("marker"), F.lit(width)))
-    return x.select("doc_id", F.explode(keys).alias("key"), context.alias("context"))
+#: fixed values: a citation command of LaTeX, or numbers in brackets
+MARKER = r"\\cite[a-z]*\*?(?:\[[^\]]*\])*\{[^}]*\}|\[[0-9]+(?:, ?[0-9]+)*\]"
+
+
+def citation_contexts(docs: DataFrame, width: int = 200, usable: bool = False) -> DataFrame:
+    """(doc_id, marker, key, context) for each citation marker and key, repeated ones too: the text on both sides up to the next
+    marker, `width` characters at most, the marker itself as [CITE]. marker: its place among the document's, from 0.
+
+    usable: only contexts of 60 to 400 characters and 8 words, the marker aside, that do not begin with an ellipsis.
+    """
+    x = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"({MARKER})"), F.lit(1)).alias("marks"), F.split("text", MARKER, -1).alias("parts"))
+    x = x.select("doc_id", "parts", F.posexplode("marks").alias("marker", "mark"))
+    before, after = F.get("parts", F.col("marker")), F.get("parts", F.col("marker") + 1)
+    keys = F.split(F.regexp_replace(F.regexp_replace("mark", r"^\\cite[a-z]*\*?(\[[^\]]*\])*\{", ""), r"[\[\]{}]", ""), r"\s*,\s*")
+    x = x.select("doc_id", "marker", keys.alias("keys"), F.right(before, F.lit(width)).alias("before"), F.left(after, F.lit(width)).alias("after"))
+    if usable:
+        plain = F.trim(F.regexp_replace(F.concat("before", F.lit(" "), "after"), r"\s+", " "))
+        x = x.where(F.length(plain).between(60, 400) & (F.size(F.split(plain, " ")) >= 8) & ~plain.rlike("^(…|\\.\\.\\.)"))
+    return x.select("doc_id", "marker", F.explode("keys").alias("key"), F.concat("before", F.lit("[CITE]"), "after").alias("context"))

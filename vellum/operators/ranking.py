@@ -23,6 +23,17 @@ def prefer(rows: DataFrame, group: list[str], demoted: Column, order: list) -> D
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
+def content_first(rows: DataFrame, by: str, group: str, junk: Column, rank: str = "rank", demoted: float = 3.5, limit: int | None = None) -> DataFrame:
+    """One row of each group in rank order, `place` from 1: its first row that is not junk, in the place of its first row of all;
+    a group of nothing but junk keeps its first row, `demoted` places lower."""
+    w = W.partitionBy(by, group)
+    x = rows.withColumn("__junk", junk).withColumns({"__first": F.min(rank).over(w), "__bare": F.min(F.col("__junk").cast("int")).over(w) == 1})
+    x = x.withColumn("__rn", F.row_number().over(w.orderBy(F.col("__junk").cast("int"), rank))).where("__rn = 1")
+    x = x.withColumn("__slot", F.row_number().over(W.partitionBy(by).orderBy("__first")) + F.when(F.col("__bare"), demoted).otherwise(0.0))
+    x = x.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy("__slot", "__first")))
+    return (x if limit is None else x.where(F.col("place") <= limit)).drop("__junk", "__first", "__bare", "__rn", "__slot")
+
+
 def cap(rows: DataFrame, group: list[str], most: int, order: list) -> DataFrame:
     """The first `most` rows of each group in order."""
     return rows.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("__rn") <= most).drop("__rn")

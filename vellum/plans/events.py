@@ -81,14 +81,15 @@ def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_title_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN14 STR5: pairs of different titles of four words or more that agree by 0.8 Jaccard."""
+    """JN14 STR5: pairs of different titles of four words or more that agree by 0.8 Jaccard, marks of parts equal, shared tasks aside."""
     d = papers(spark, sf_dir).select("doc_id", T.title_tokens(F.col("title")).alias("w"))
     return twins.fuzzy_pairs(d, "doc_id", "w")[0]
 
 
 FUZZY = f"""
-WITH d AS (SELECT doc_id, list_sort({TTOK.format("split_part(text, chr(10), 1)")}) AS w FROM documents), s AS (SELECT w, min(doc_id) AS f FROM d WHERE len(w) >= 4 GROUP BY w),
-p AS (SELECT x.f AS a, y.f AS b, round(len(list_intersect(x.w, y.w))::DOUBLE / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) AS jaccard FROM s x JOIN s y ON x.f < y.f AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w)) - 1e-9)
+WITH d AS (SELECT doc_id, list_sort({TTOK.format("split_part(text, chr(10), 1)")}) AS w FROM documents), s AS (SELECT w, min(doc_id) AS f, list_filter(w, lambda t: t IN ('i','ii','iii','iv','v','vi','vii','viii','ix','x') OR regexp_matches(t, '[0-9]') OR length(t) = 1) AS marks,
+  len(list_filter(w, lambda t: t IN ('semeval','wmt','trec','clef','iwslt','sigmorphon','bionlp'))) > 0 AS shared FROM d WHERE len(w) >= 4 GROUP BY w),
+p AS (SELECT x.f AS a, y.f AS b, round(len(list_intersect(x.w, y.w))::DOUBLE / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))), 6) AS jaccard FROM s x JOIN s y ON x.f < y.f AND x.marks = y.marks AND NOT x.shared AND NOT y.shared AND least(len(x.w), len(y.w)) >= 0.8 * greatest(len(x.w), len(y.w)) - 1e-9)
 SELECT * FROM p WHERE jaccard >= 0.8
 """
 

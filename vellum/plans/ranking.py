@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.boilerplate import boilerplate
 from ..operators import dense, lexical, ranking
 from ..sources.tables import load, papers
 from .retrieval import BM25, BM25_DOCS, FTS_OR_QUERY, PAIRS, bm25_docs, lex, query_vectors
@@ -37,6 +38,53 @@ FROM (SELECT doc_id, source, lang, n_chars, {RATIO} < 0.08 AS boilerplate FROM d
 """
 
 
+#: planted chunks: section title, element type, text, and whether the rules call them boilerplate
+CHUNKS = (
+    ("Method", "prose", "We show that the model of the data is the one that can be used for this, and it is not more than that.", False),
+    ("7. References", "prose", "We show that the model of the data is the one that can be used for this.", True),
+    ("Reproducibility Checklist", "prose", "The answers are in the appendix.", True),
+    ("Appendix", "prose", "Question: are the limits stated? Justification: they are in the text of the paper.", True),
+    ("", "prose", "[1] Doe, J. Graph things. arXiv preprint 2101.1. In Proceedings, pp. 12. [2] Roe, R. Journal of Tests.", True),
+    ("", "prose", "[Duan et al.(2024b)Duan, Wang] Large ranking model, Kyoto, Japan", True),
+    ("", "prose", "Permission to make digital copies ISBN 978-1-4503 10.1145/1.2", True),
+    ("", "prose", r"\newcommand{x}{1} \usepackage{y} \setlength{z}{2}", True),
+    ("", "equation", r"\newcommand{x}{1} \usepackage{y} \setlength{z}{2}", False),
+    ("", "prose", "thmTheorem lemLemma corCorollary propProposition", True),
+    ("", "prose", "Jane Doe Kyoto University jane@kyoto.example.org", True),
+    ("", "prose", "Write to jane@kyoto.example.org and we will send the data to you, as this is the way in which it was done.", False),
+    ("", "prose", "Graph Things ==================== 2024", True),
+    ("", "prose", "", False),
+)
+
+
+def _planted(d: DataFrame, n: Column) -> DataFrame:
+    chunk = F.get(F.array(*[F.struct(F.lit(a).alias("title"), F.lit(b).alias("element"), F.lit(c).alias("text")) for a, b, c, _ in CHUNKS]), n)
+    return d.withColumn("chunk", chunk).withColumn("junk", boilerplate(F.col("chunk.text"), F.col("chunk.title"), F.col("chunk.element"))).drop("chunk")
+
+
+def boilerplate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL8 FIL10: planted chunks judged by all rules: preamble, authors, venue header, references, checklist, protected elements."""
+    n = (F.col("doc_id") % len(CHUNKS)).cast("int")
+    return _planted(load(spark, sf_dir, "documents").select("doc_id"), n)
+
+
+def content_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN5 WIN6 TOP6: each source once among an item's documents, by its first chunk with content; sources without any go 3.5 places down."""
+    r = lexical.top(lex(spark, sf_dir), "item_id", 30, [F.desc("score"), "doc_id"]).join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    judged = _planted(r, F.when(F.col("doc_id") % 3 > 0, 4).otherwise(0))
+    return ranking.content_first(judged, "item_id", "source", F.col("junk"), limit=10).select("item_id", "source", "doc_id", "junk", "place")
+
+
+CONTENT_FIRST = f"""
+WITH {BM25}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM lex) WHERE k <= 30),
+j AS (SELECT r.item_id, r.doc_id, d.source, r.k, d.doc_id % 3 > 0 AS junk FROM r JOIN documents d USING (doc_id)),
+g AS (SELECT item_id, source, min(k) AS first, bool_and(junk) AS bare, coalesce(min(k) FILTER (NOT junk), min(k)) AS shown FROM j GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY first) + CASE WHEN bare THEN 3.5 ELSE 0 END AS slot FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY slot, first) AS place FROM s)
+SELECT p.item_id, p.source, j.doc_id, p.bare AS junk, CAST(p.place AS INT) AS place FROM p JOIN j ON j.item_id = p.item_id AND j.k = p.shown WHERE place <= 10
+"""
+
+
 def collapse_exact_twins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN7 JN11 FIL5: documents with equal normalized text are twins of the smallest id."""
     d = load(spark, sf_dir, "documents").select("doc_id", F.sha2(T.title_key(F.col("text")), 256).alias("key"))
@@ -260,6 +308,7 @@ SELECT conv_id, least(s, level) + es AS system_share, least(u, level) + eu AS us
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
+        (boilerplate_chunks, f"SELECT doc_id, [{', '.join(str(x[3]).lower() for x in CHUNKS)}][doc_id % {len(CHUNKS)} + 1] AS junk FROM documents"), (content_first, CONTENT_FIRST),
         (stop_word_ratio, STOP_WORD_RATIO), (dedupe_prefer_content, DEDUPE_PREFER_CONTENT), (collapse_exact_twins, COLLAPSE_EXACT_TWINS),
         (cap_per_source, CAP_PER_SOURCE), (relevance_floor, RELEVANCE_FLOOR), (facet_filters, FACET_FILTERS), (relax_filters, RELAX_FILTERS),
         (why_empty, WHY_EMPTY), (numeric_density_rank, NUMERIC_DENSITY_RANK), (evidence_page, EVIDENCE_PAGE), (section_page, SECTION_PAGE),

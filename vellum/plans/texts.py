@@ -98,8 +98,20 @@ def split_long_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC25 UDTF1 FIL18 STR35: markers in brackets and the text around them."""
-    return chunking.citation_contexts(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    """SRC25 UDTF1 FIL18 STR35: usable contexts of markers planted in documents: a command of two keys, numbers, the same numbers again."""
+    cut = lambda a, n: F.substring("text", a, n)
+    d = load(spark, sf_dir, "documents").select("doc_id", F.concat(cut(1, 300), F.lit(" \\cite[see]{a, b} "), cut(301, 300), F.lit(" [7] "), cut(601, 300), F.lit(" [7] "), cut(901, 20)).alias("text"))
+    return chunking.citation_contexts(d, usable=True)
+
+
+CITATION_CONTEXTS = """
+WITH p AS (SELECT doc_id, [substring(text, 1, 300) || ' ', ' ' || substring(text, 301, 300) || ' ', ' ' || substring(text, 601, 300) || ' ', ' ' || substring(text, 901, 20)] AS p FROM documents),
+m AS (SELECT doc_id, unnest([0, 0, 1, 2]) AS marker, unnest(['a', 'b', '7', '7']) AS key, p FROM p),
+c AS (SELECT doc_id, marker, key, right(p[marker + 1], 200) AS l, left(p[marker + 2], 200) AS r FROM m),
+t AS (SELECT *, trim(regexp_replace(l || ' ' || r, '\\s+', ' ', 'g')) AS plain FROM c)
+SELECT doc_id, CAST(marker AS INT) AS marker, key, l || '[CITE]' || r AS context FROM t
+WHERE length(plain) BETWEEN 60 AND 400 AND len(string_split(plain, ' ')) >= 8 AND NOT starts_with(plain, '...') AND NOT starts_with(plain, '…')
+"""
 
 
 def abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +137,7 @@ QUERIES = {
     "pdf_paragraphs": (pdf_paragraphs, PDF_PARAGRAPHS),
     "section_types": (section_types, "SELECT CASE p_size % 9 WHEN 0 THEN 'introduction' WHEN 1 THEN 'related_work' WHEN 2 THEN 'appendix' WHEN 3 THEN 'experiments' WHEN 4 THEN 'method' WHEN 5 THEN 'conclusion' WHEN 6 THEN 'limitations' WHEN 7 THEN 'analysis' ELSE 'other' END AS section_type, count(*) AS n FROM part GROUP BY 1"),
     "split_long_text": (split_long_text, None),
-    "citation_contexts": (citation_contexts, None),
+    "citation_contexts": (citation_contexts, CITATION_CONTEXTS),
     "abstracts": (abstracts, None),
     "inverted_abstract": (inverted_abstract, "SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark"),
 }
