@@ -216,3 +216,24 @@ def corroborated(title_a: Column, title_b: Column, abs_a: Column, abs_b: Column)
 def vector_sha256(v: Column) -> Column:
     """The content hash of a vector's values as 32-bit floats: each written in the shortest way that reads back as the same float."""
     return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: (x.cast("float") + F.lit(0).cast("float")).cast("string")), ","), F.lit("]")), 256)
+
+
+def unescaped(c: Column) -> Column:
+    """HTML entities of common characters turned back, each once."""
+    #: fixed values: entities and what they stand for; the ampersand's comes last
+    entities = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+    for name, letter in entities.items():
+        c = F.replace(c, F.lit(name), F.lit(letter))
+    return c
+
+
+def sha1_bucket(c: Column, buckets: int) -> Column:
+    """The SHA-1 of a text as one number, modulo `buckets`: digit by digit, so that no number outgrows a long."""
+    digits = F.transform(F.split(F.sha1(c), ""), lambda x: F.call_function("instr", F.lit("0123456789abcdef"), x) - 1)
+    return F.aggregate(digits, F.lit(0), lambda a, x: F.pmod(a * 16 + x, F.lit(buckets)))
+
+
+def embed_text(title: Column, abstract: Column, fallback: Column, least: int = 80) -> Column:
+    """What stands for a document: its title, and its abstract if that has `least` characters, else its fallback chunk if there is one."""
+    long_enough = F.length(F.trim(abstract)) >= least
+    return F.concat_ws("\n", title, F.when(long_enough, F.trim(abstract)).otherwise(fallback))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, events, extras, generation, graph, ranking, registry, retrieval, search, texts
+from . import analytics, discovery, events, extras, generation, graph, ranking, registry, retrieval, search, texts
 
-MODULES = (retrieval, ranking, graph, analytics, registry, texts, events, search, extras, generation)
+MODULES = (retrieval, ranking, graph, analytics, registry, texts, events, search, extras, generation, discovery)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

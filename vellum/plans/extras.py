@@ -111,6 +111,14 @@ def turn_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("conv_id", "turn", T.word_overlap(F.col("text"), F.col("next")).alias("words")).groupBy("words").agg(F.count("*").alias("n"))
 
 
+TURN_OVERLAPS = """
+WITH t AS (SELECT text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nx FROM conversations),
+s AS (SELECT regexp_split_to_array(trim(text, ' '), '\\s+') AS a, regexp_split_to_array(trim(nx, ' '), '\\s+') AS b FROM t WHERE nx IS NOT NULL),
+w AS (SELECT coalesce(list_max(list_filter(range(1, least(len(a), len(b)) + 1), lambda k: a[len(a) - k + 1:len(a)] = b[1:k])), 0)::INT AS words FROM s)
+SELECT words, count(*) AS n FROM w GROUP BY words
+"""
+
+
 def period_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM7 SUP37 SUP38: months of crowded event types opened as slices of their own."""
     e = load(spark, sf_dir, "events")
@@ -152,7 +160,7 @@ QUERIES = {
     "completeness": (completeness, "WITH x AS (SELECT CASE WHEN n_chars < 100 THEN 'abstract-fallback' WHEN n_chars > 5000 THEN 'latex' WHEN n_chars % 2 = 0 THEN 'spec-markdown' END AS how FROM documents) SELECT CASE WHEN how = 'abstract-fallback' THEN 'abstract_only' WHEN how IS NOT NULL THEN 'fulltext_acquired' ELSE 'metadata_missing' END AS completeness, CASE how WHEN 'latex' THEN 'latex_source' WHEN 'spec-markdown' THEN 'markdown_source' WHEN 'abstract-fallback' THEN 'abstract_text' ELSE 'unknown' END AS extraction, count(*) AS n FROM x GROUP BY ALL"),
     "bundle_categories": (bundle_categories, "WITH x AS (SELECT source, lang, labels.doc_id IS NOT NULL AS own FROM documents LEFT JOIN labels USING (doc_id)) SELECT source, lang, CASE WHEN bool_or(own) THEN count(*) FILTER (own) ELSE count(*) FILTER (NOT own) END AS fragments, bool_or(own) AS has_own FROM x GROUP BY ALL"),
     "missing_reasons": (missing_reasons, "WITH c AS (SELECT conv_id, count(*) FILTER (role = 'system') AS s, count(*) FILTER (role = 'assistant') AS a, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY conv_id) SELECT conv_id, concat_ws(',', CASE WHEN s = 0 THEN 'no_system' END, CASE WHEN a = 0 THEN 'no_assistant' END, CASE WHEN n < 3 THEN 'too_short' END, CASE WHEN chars > 5000 THEN 'budget' END) AS reasons FROM c"),
-    "turn_overlaps": (turn_overlaps, None),
+    "turn_overlaps": (turn_overlaps, TURN_OVERLAPS),
     "period_slices": (period_slices, "WITH g AS (SELECT event_type, date_trunc('day', min(ts)) AS a, date_trunc('day', max(ts)) AS b FROM events GROUP BY event_type) SELECT event_type, strftime(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 7 DAY)), '%Y-%m-%d') AS slice FROM g"),
     "edge_dedupe": (edge_dedupe, "SELECT (SELECT count(*) FROM lineitem) AS rows, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)) AS edges"),
     "structured_pages": (structured_pages, None),
