@@ -23,11 +23,12 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
-def bootstrap_interval(values: DataFrame, value: str, iterations: int = 200, seed: int = 1, share: float = 0.95) -> DataFrame:
+def bootstrap_interval(values: DataFrame, value: str, iterations: int = 200, seed: int = 1, share: float = 0.95, key: str | None = None) -> DataFrame:
     """One row: mean, low, high: the percentile interval of the mean over Poisson bootstrap samples.
 
     Each row has weights that its hash and the iteration decide, so samples are drawn where rows are, in one
-    aggregation without a shuffle of rows, and a seed gives the same interval on every run.
+    aggregation without a shuffle of rows, and a seed gives the same interval on every run:
+    rows are drawn by `key`, or by all their columns (equal rows are then drawn together).
     """
     import math
 
@@ -43,7 +44,7 @@ def bootstrap_interval(values: DataFrame, value: str, iterations: int = 200, see
             w = F.when(x < cuts[k], k).otherwise(w)
         return w
 
-    x = values.select(F.col(value).cast("double").alias("v"), F.monotonically_increasing_id().alias("__id")).where("v is not null")
+    x = values.select(F.col(value).cast("double").alias("v"), (F.col(key) if key else F.xxhash64(*values.columns)).alias("__id")).where("v is not null")
     each = x.select("v", F.explode(F.transform(F.sequence(F.lit(1), F.lit(iterations)), lambda i: F.struct(i.alias("i"), weight(u(i)).alias("w")))).alias("s"))
     means = each.groupBy("s.i").agg((F.sum(F.col("v") * F.col("s.w")) / F.sum("s.w")).alias("m"))
     low = (1 - share) / 2

@@ -134,7 +134,7 @@ def edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC23: elements of pages by tag."""
-    return structured.nodes(load(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+    return structured.nodes(load(spark, sf_dir, "pages")).groupBy("tag").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("truncated").alias("truncated"))
 
 
 def page_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ def page_search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def value_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG20 AGG21: a bootstrap interval of the mean event value."""
-    return evaluation.bootstrap_interval(load(spark, sf_dir, "events"), "value", 50)
+    return evaluation.bootstrap_interval(load(spark, sf_dir, "events"), "value", 50, key="event_id")
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import dense, generation, lexical, registry
 from ..sources.tables import citations, load, papers
+from .ranking import KEY, TTOK
 from .retrieval import BM25, BM25_DOCS, PAIRS, bm25_docs, lex, query_vectors
 from .search import VEC
 
@@ -142,7 +143,7 @@ QUERIES = {
     "interleaved_passages": (interleaved_passages, INTERLEAVED),
     "sorted_papers": (sorted_papers, f"WITH r AS ({BM25_DOCS}), d AS (SELECT l_partkey AS doc_id, count(DISTINCT l_orderkey) AS c FROM lineitem GROUP BY 1) SELECT item_id, doc_id, rank, coalesce(c, 0) AS cites, CAST(row_number() OVER (PARTITION BY item_id ORDER BY coalesce(c, 0) DESC, rank) AS INT) AS by_citations FROM r LEFT JOIN d USING (doc_id)"),
     "topic_sample": (topic_sample, TOPIC_SAMPLE),
-    "title_corroboration": (title_corroboration, None),
+    "title_corroboration": (title_corroboration, f"WITH d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, len({TTOK.format('split_part(text, chr(10), 1)')}) > 0 OR length({KEY.format('text')}) >= 100 AS same FROM documents) SELECT * FROM d WHERE doc_id > first"),
     "stub_and_projects": (stub_and_projects, PROJECTS),
     "substring_counts": (substring_counts, "SELECT p_brand, CAST(sum(length(p_name) - length(replace(p_name, 'e', ''))) AS BIGINT) AS n FROM part GROUP BY p_brand"),
     "judged_metrics": (judged_metrics, f"WITH r AS ({BM25_DOCS}) SELECT item_id, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality IS NULL) AS unlabelled, min(CASE WHEN quality = 1 THEN rank END) AS first_good FROM r LEFT JOIN labels USING (doc_id) GROUP BY item_id"),
