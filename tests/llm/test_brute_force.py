@@ -343,6 +343,14 @@ def library_ids(text, enc):
     return enc.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_other_layouts_are_asked_for_whole_texts():
+    enc = tokens.encoder("byte_bpe_50k.json")
+    assert enc.pattern is None and tokens.encoder(tokens.VOCABULARY).pattern is not None
+    enc = tokens.encoder("byte_bpe_50k.json")
+    for t in ["Hello  world\n it's", " lead é 12", ""]:
+        assert np.frombuffer(enc.ids(t), "<u4").tolist() == library_ids(t, enc), t
+
+
 def test_encoder_equals_the_library():
     enc = tokens.encoder(tokens.VOCABULARY)
     for t in ["a\x1cb", "x<|endoftext|>y", "İstanbul ΣΑΣ é ́x", "日本 語", "it's don't 12 3½ ² ß", "\xa0a\x85b　c", "A­b KK", "  lead", "tail \n"]:

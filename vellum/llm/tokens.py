@@ -1,11 +1,14 @@
 """Token ids of whole texts by the tokenizers library, with the library's answers for words kept in the worker.
 
-The vocabulary file splits at white space before anything else, so a text's ids are those of its chunks between
-white space, one after another. Frequent chunks and pieces are asked for once a worker; the stores are bounded.
+Where the vocabulary file makes all white space one, lower-cases, and keeps the matches of a pattern as byte-level pieces, a
+text's ids are those of its chunks between white space, one after another. Frequent chunks and pieces are asked for once
+a worker; the stores are bounded. The pattern is read from the file, and files of any other layout are asked for whole texts.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import regex
 
@@ -13,14 +16,27 @@ from .common import held
 
 VOCABULARY = "word_bpe_49k.json"
 CHUNKS_KEPT, PIECES_KEPT = 250_000, 350_000
-#: fixed values: the vocabulary's own pre-tokenizer pattern
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Python splits at these, the vocabulary does not
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: not stable under normalization, or in another case in another way, or part of a special token
 NOT_PLAIN = regex.compile("[^\x21-\xff]|[\x7f-\xa0]|<\\|")
 
 
+#: a file of the layout that can be asked chunk by chunk, the pattern aside
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def piece_pattern(layout: dict) -> str | None:
+    """The pattern of pieces in a tokenizer's JSON, or None where chunks between white space cannot be asked for one by one."""
+    steps = (layout.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if (layout.get("normalizer") or {}).get("normalizers") != NORMALIZERS or layout.get("post_processor") or len(steps) != 2 or steps[1] != BYTES:
+        return None
+    split = steps[0]
+    found = split.get("pattern", {}).get("Regex") if (split.get("type"), split.get("behavior"), split.get("invert")) == ("Split", "Removed", True) else None
+    return found if found and regex.search(found, " \t\n") is None else None
+
+
 def byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -36,6 +52,8 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(vocabulary)
         self.model = self.whole.model
+        found = piece_pattern(json.loads(self.whole.to_str()))
+        self.pattern = found and regex.compile(found)
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.letters = byte_letters()
@@ -55,7 +73,7 @@ class Encoder:
             got = self._all(chunk)
         else:
             known = self.pieces.get
-            got = b"".join([known(p) or self._piece(p) for p in PIECE.findall(chunk.lower())])
+            got = b"".join([known(p) or self._piece(p) for p in self.pattern.findall(chunk.lower())])
         if len(self.chunks) < CHUNKS_KEPT:
             self.chunks[chunk] = got
         return got
@@ -63,7 +81,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if SEPARATORS.search(text):
+        if self.pattern is None or SEPARATORS.search(text):
             return self._all(text)
         words = text.split()
         parts = list(map(self.chunks.get, words))
