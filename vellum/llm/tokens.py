@@ -52,7 +52,9 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(vocabulary)
         self.model = self.whole.model
-        found = piece_pattern(json.loads(self.whole.to_str()))
+        parts = {"normalizer": self.whole.normalizer, "pre_tokenizer": self.whole.pre_tokenizer, "post_processor": self.whole.post_processor}
+        # the parts alone: the whole file's JSON, vocabulary included, would take far more memory
+        found = piece_pattern({k: p and json.loads(p.__getstate__()) for k, p in parts.items()})
         self.pattern = found and regex.compile(found)
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
