@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import saved, shared_dir, work_path
 
-__all__ = ["NULL_ID", "connected_components", "file_system", "held", "range_shards", "saved", "shard_of", "shared_dir", "stored", "text_key", "work_path"]
+__all__ = ["NULL_ID", "connected_components", "file_system", "give_back", "held", "range_shards", "saved", "shard_of", "shared_dir", "stored", "text_key", "work_path"]
 
 #: stands for a null doc_id where a key must not be null
 NULL_ID = -(2**63)
@@ -21,10 +25,20 @@ def held(tag, make):
     """make(), kept in this worker until something else is asked for: one large object a worker, whatever ran before."""
     if tag not in _held:
         _held.clear()
+        give_back()
         _held[tag] = make()
+        give_back()
     return _held[tag]
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed and its allocators still keep: workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed table of the shared folder: its lineage ends there."""
     path = work_path(df.sparkSession, name)
