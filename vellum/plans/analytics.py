@@ -103,9 +103,9 @@ CORPUS_STATS = "SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f
 
 def topic_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG10 AGG11 MTH18 API20: vectors near each query by label, the graded maximum, and the mean of the five nearest."""
-    s = dense.scores(load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), group="label")
-    per = s.groupBy("qid", "grp").agg(F.count_if(F.col("score") >= 0.2).alias("n")).groupBy("qid").agg(F.max("n").alias("coverage"))
-    five = s.withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where("rn <= 5").groupBy("qid").agg(F.round(F.avg("score"), 6).alias("probe"))
+    e, q = load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir)
+    per = dense.tallies(e, q, [0.2], group="label").groupBy("qid", "grp").agg(F.sum("n_0").alias("n")).groupBy("qid").agg(F.max("n").alias("coverage"))
+    five = dense.scores(e, q, keep=5).withColumn("rn", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).where("rn <= 5").groupBy("qid").agg(F.round(F.avg("score"), 6).alias("probe"))
     return per.join(five, "qid").withColumn("grade", evaluation.coverage_grade(F.col("coverage")))
 
 
