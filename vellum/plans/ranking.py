@@ -116,8 +116,13 @@ SELECT item_id, doc_id, source, CAST(place AS INT) AS place FROM t WHERE place <
 
 def relevance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL12: scores that reach their label's floor, counted for each query."""
-    s = dense.scores(load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), group="label").withColumnRenamed("grp", "label")
-    return ranking.floor_by_layer(s, "label", {0: 0.1, 1: 0.15, 2: 0.2}, 0.25).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
+    floors, default = {0: 0.1, 1: 0.15, 2: 0.2}, 0.25
+    s = dense.tallies(load(spark, sf_dir, "embeddings"), query_vectors(spark, sf_dir), [*floors.values(), default], group="label").withColumnRenamed("grp", "label")
+    n = F.col(f"n_{len(floors)}")
+    for k, label in enumerate(floors):
+        n = F.when(F.col("label") == label, F.col(f"n_{k}")).otherwise(n)
+    # where a label's best score is under its floor, none reaches it
+    return ranking.floor_by_layer(s.withColumn("reach", n), "label", floors, default, "best").groupBy("qid").agg(F.sum("reach").alias("n"), F.round(F.max("best"), 6).alias("best"))
 
 
 RELEVANCE_FLOOR = f"WITH {PAIRS} SELECT qid, count(*) AS n, max(score) AS best FROM p WHERE score >= CASE label WHEN 0 THEN 0.1 WHEN 1 THEN 0.15 WHEN 2 THEN 0.2 ELSE 0.25 END GROUP BY qid"
