@@ -62,8 +62,8 @@ def _stems(c: str) -> str:
 
 
 def cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ARR6 WIN11: cursors of documents' pages of 1000 characters, there and back."""
-    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_chars") - 1) / 1000).cast("int"))).alias("page"))
+    """ARR6 WIN11: cursors of documents' pages of 1000 characters, there and back; a document of no or unknown length has one page."""
+    d = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n_chars") - 1) / 1000).cast("int")))).alias("page"))
     c = d.withColumn("cursor", T.cursor(F.col("page") * 1000, F.col("page")))
     return c.select("doc_id", "page", "cursor", T.cursor_of(F.col("cursor"))["offset"].alias("offset"))
 
