@@ -17,7 +17,7 @@ def lexical_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP8: an item's forty nearest documents, and those of its twenty best by words that are not among them, at the shortlist's least score."""
     e, b = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     near = lexical.top(dense.scores(e, e.join(b, "vec_id", "left_semi"), keep=40), "qid", 40, [F.desc("score"), "vec_id"]).select(F.col("qid").alias("q"), F.col("vec_id").alias("id"), "score")
-    words = lexical.top(lex(spark, sf_dir), "item_id", 20, [F.desc("score"), "doc_id"]).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"))
+    words = lexical.top(lex(spark, sf_dir, 20), "item_id", 20, [F.desc("score"), "doc_id"]).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"))
     return search.with_additions(near, words)
 
 
@@ -31,7 +31,7 @@ SELECT q, id, score, false AS added FROM s UNION ALL SELECT w.q, w.id, m.least,
 
 def graph_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FUS8 FUS9 FUS10: papers cited by three of an item's thirty best documents, the one that is cited by 0.4 of them and by eight at least, put third."""
-    pool = lexical.top(lex(spark, sf_dir), "item_id", 30, [F.desc("score"), "doc_id"]).select("item_id", "doc_id", "rank")
+    pool = lexical.top(lex(spark, sf_dir, 30), "item_id", 30, [F.desc("score"), "doc_id"]).select("item_id", "doc_id", "rank")
     edges = citations(spark, sf_dir).select(F.col("src").alias("doc_id"), (F.col("dst") % 10 - 10).alias("cited")).distinct()
     chosen = search.graph_quota(pool, edges, "item_id", "doc_id")
     return fusion.inject(pool.where("rank <= 10"), "item_id", chosen, 3).where("rank <= 10").select("item_id", "doc_id", "rank", F.coalesce("votes", F.lit(0).cast("long")).alias("votes"))
@@ -69,7 +69,7 @@ SELECT id, chunk, CAST(score AS INT) AS score FROM b WHERE r = 1
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN13: an item's ten best documents by their best logit; those without one follow in their old order."""
-    hits = lexical.top(lex(spark, sf_dir), "item_id", 10, [F.desc("score"), "doc_id"]).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
+    hits = lexical.top(lex(spark, sf_dir, 10), "item_id", 10, [F.desc("score"), "doc_id"]).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "rank")
     logits = hits.where("id % 4 > 0").select("q", "id", F.explode(F.array((F.col("id") * 7 % 13).cast("double"), (F.col("id") * 5 % 11).cast("double"))).alias("logit"))
     return search.rescored(hits, logits).select("q", "id", "logit", "rerank")
 

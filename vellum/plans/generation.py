@@ -10,17 +10,21 @@ from ..functions import text as T
 from ..operators import dense, generation, lexical, registry
 from ..sources.tables import citations, load, papers
 from .ranking import KEY, TTOK
-from .retrieval import BM25, BM25_DOCS, PAIRS, bm25_docs, lex, query_vectors
+from .retrieval import BM25, BM25_DOCS, PAIRS, bm25_docs, item_words, query_vectors
 from .search import VEC
 
 
 def generation_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FUS15 FUS17 FUS21 FUS25 JN17 D11 SUP10 SUP14 SUP15 SUP17 C18: words and two dense feeds over sources, two voting channels."""
-    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    words = generation.feed(lex(spark, sf_dir).select(F.col("item_id").alias("q"), F.col("doc_id").alias("id"), "score").join(d, "id"))
-    e = load(spark, sf_dir, "embeddings")
-    near = dense.scores(e, e.join(load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")).select(F.col("qid").alias("q"), F.col("vec_id").alias("id"), "score").join(d, "id")
-    derived, native = generation.feed(near.where("id % 2 = 0")), generation.feed(near.where("id % 2 = 1"))
+    # of a source, a feed wants the best score only: documents and vectors are grouped by source where they are scored
+    best = lexical.best(load(spark, sf_dir, "documents"), item_words(spark, sf_dir), 1, group="source")
+    words = generation.feed(best.select(F.col("item_id").alias("q"), F.col("grp").alias("source"), "score"))
+    e, b = load(spark, sf_dir, "embeddings"), load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    v = e.join(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source"), "vec_id")
+    q = e.join(b, "vec_id", "left_semi")
+    halves = [dense.scores(v.where(f"vec_id % 2 = {k}"), q, keep=1, group="source").select(F.col("qid").alias("q"), F.col("grp").alias("source"), "score") for k in (0, 1)]
+    near = halves[0].unionByName(halves[1])
+    derived, native = map(generation.feed, halves)
     found = generation.discovered(words, derived, native, limit=5)
     return generation.answers(found, near.where("score >= 0.1"), floor=0.2).select("q", "source", "fused", "rank", "score", "status")
 

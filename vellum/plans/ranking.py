@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.boilerplate import boilerplate
 from ..operators import dense, lexical, ranking
 from ..sources.tables import load, papers
-from .retrieval import BM25, BM25_DOCS, FTS_OR_QUERY, PAIRS, bm25_docs, lex, query_vectors
+from .retrieval import BM25, BM25_DOCS, FTS_OR_QUERY, PAIRS, any_hits, bm25_docs, lex, query_vectors
 
 _PROSE = ", ".join(f"'{w}'" for w in T.PROSE_STOP_WORDS)
 RATIO = f"CASE WHEN len(regexp_extract_all(lower(text), '[a-z]+')) > 0 THEN len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ({_PROSE})))::DOUBLE / len(regexp_extract_all(lower(text), '[a-z]+')) ELSE 0.0 END"
@@ -70,7 +70,7 @@ def boilerplate_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN5 WIN6 TOP6: each source once among an item's documents, by its first chunk with content; sources without any go 3.5 places down."""
-    r = lexical.top(lex(spark, sf_dir), "item_id", 30, [F.desc("score"), "doc_id"]).join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    r = lexical.top(lex(spark, sf_dir, 30), "item_id", 30, [F.desc("score"), "doc_id"]).join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     judged = _planted(r, F.when(F.col("doc_id") % 3 > 0, 4).otherwise(0))
     return ranking.content_first(judged, "item_id", "source", F.col("junk"), limit=10).select("item_id", "source", "doc_id", "junk", "place")
 
@@ -101,7 +101,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS canonical, count(*) OVER (PA
 def cap_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN8 FIL20: at most two documents of a source for each item, in rank order, renumbered."""
     d = load(spark, sf_dir, "documents").select("doc_id", "source")
-    r = lexical.top(lex(spark, sf_dir), "item_id", 50, [F.desc("score"), "doc_id"]).join(d, "doc_id")
+    r = lexical.top(lex(spark, sf_dir, 50), "item_id", 50, [F.desc("score"), "doc_id"]).join(d, "doc_id")
     kept = ranking.cap(r, ["item_id", "source"], 2, ["rank"])
     return kept.withColumn("place", F.row_number().over(W.partitionBy("item_id").orderBy("rank"))).where("place <= 10").select("item_id", "doc_id", "source", "place")
 
@@ -208,7 +208,7 @@ SELECT conv_id, length(body) AS n_chars, substring(body, 301, 300) AS page, leng
 def lane_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TOP19 SUP4: best by words and longest matching documents in turn, ten an item, none twice."""
     d = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    s = lexical.top(lex(spark, sf_dir), "item_id", 30, [F.desc("score"), "doc_id"])
+    s = lexical.top(lex(spark, sf_dir, 30), "item_id", 30, [F.desc("score"), "doc_id"])
     longest = s.join(d, "doc_id").drop("rank").withColumn("rank", F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("n_chars"), "doc_id")))
     return ranking.alternating([s, longest], "item_id", "doc_id", 10).select("item_id", "doc_id", "lane", "place")
 
@@ -248,7 +248,7 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     twins = collapse_exact_twins(spark, sf_dir).select("doc_id", "canonical")
     b = load(spark, sf_dir, "benchmark").select("item_id", T.any_words_query(F.col("text")).alias("words"))
     b = b.select("item_id", F.flatten(F.transform("words", T.tokens)).alias("words"))
-    any_ = lexical.top(lexical.matches(load(spark, sf_dir, "documents"), b, every=False), "item_id", 20, [F.desc("n_hits"), "doc_id"])
+    any_ = lexical.top(any_hits(spark, sf_dir, b, 20), "item_id", 20, [F.desc("n_hits"), "doc_id"])
     both = bm25_docs(spark, sf_dir).select("item_id", "doc_id", "rank", F.lit("bm25").alias("channel")).unionByName(any_.select("item_id", "doc_id", "rank", F.lit("any").alias("channel")))
     g = both.join(twins, "doc_id").groupBy("item_id", "canonical").agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"), F.min("rank").alias("best_rank"), F.min(F.when(F.col("channel") == "bm25", F.col("rank"))).alias("bm25_rank"))
     return g
