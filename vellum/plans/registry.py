@@ -86,10 +86,18 @@ SELECT *, CASE WHEN direct > 0 THEN 'strong_candidates' WHEN adjacent > 0 THEN '
 """
 
 
+#: edges of a partition
+EDGES = 500_000
+
+
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MTH7 MTH8 MTH9 C8 STR34: parts pass, wait or are rejected by age of their first order, citations and niche."""
-    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate")
-    f = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p_partkey")).join(o, "k").groupBy("p_partkey").agg(F.min("o_orderdate").alias("d"), F.countDistinct("k").alias("cites"))
+    edges = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p_partkey")).where("k is not null")
+    # rows of an order in one partition, and no more rows there with more orders: edges become different and meet their
+    # orders without another exchange, and what leaves are parts
+    n = max(spark.sparkContext.defaultParallelism, edges.count() // EDGES + 1)
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderdate").repartition(n, "k").groupBy("k").agg(F.min("o_orderdate").alias("o_orderdate"))
+    f = edges.repartition(n, "k").distinct().join(o, "k").groupBy("p_partkey").agg(F.min("o_orderdate").alias("d"), F.count("*").alias("cites"))
     p = load(spark, sf_dir, "part").join(f, "p_partkey", "left")
     x = p.select("p_partkey", (F.col("p_brand") == "Brand#11").alias("venue"), F.coalesce("cites", F.lit(0)).alias("cites"), quality.age_months(F.year("d"), F.month("d"), 1997, 1).alias("age"), (F.col("p_size") % 8).alias("niche"), (F.col("p_size") > 45).alias("lab"))
     return x.select("p_partkey", "age", quality.citation_threshold(F.col("age"), F.col("niche")).alias("threshold"), quality.quality_verdict(F.col("venue"), F.col("cites"), F.lit(0), F.col("age"), F.col("niche"), F.col("lab")).alias("verdict"))
